@@ -7,14 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.bpe import encode_texts
+from tracemill.llm.counts import count_tokens
+from tracemill.llm.packing import pack
 from tracemill.llm.records import record_stream
 from tracemill.session import settle, table
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_stream(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
