@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.bpe import encode_texts
 from tracemill.llm.counts import count_tokens
+from tracemill.llm.media import text_media
 from tracemill.llm.packing import pack
+from tracemill.llm.quality import ORACLE as QUALITY_SQL
+from tracemill.llm.quality import apply_policy, ledger
 from tracemill.llm.records import record_stream
 from tracemill.session import settle, table
 
 
+def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(settle(spark), sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -26,6 +33,11 @@ def op4_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = apply_policy(ledger(table(settle(spark), sf_dir, "documents")))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_ledger": QUALITY_SQL}
