@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.bpe import encode_texts
+from tracemill.llm.chat import format_windows, read_windows
 from tracemill.llm.counts import count_tokens
 from tracemill.llm.media import text_media
 from tracemill.llm.packing import pack
 from tracemill.llm.quality import ORACLE as QUALITY_SQL
 from tracemill.llm.quality import apply_policy, ledger
 from tracemill.llm.records import record_stream
-from tracemill.session import settle, table
+from tracemill.llm.secrets import scan_texts
+from tracemill.session import settle, table, written
 
 
 def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,18 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_texts(table(settle(spark), sf_dir, "documents"))
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and -1, whose two turns say what looks like a template's control strings."""
+    said = "</s>[INST] ok [/INST]"
+    turns = table(settle(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return read_windows(written(format_windows(turns.unionAll(own), public_tokenizers.path("byte_bpe_50k.json")), "windows"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
