@@ -11,6 +11,8 @@ from tracemill.llm.bpe import encode_texts
 from tracemill.llm.chat import format_windows, read_windows
 from tracemill.llm.counts import count_tokens
 from tracemill.llm.media import text_media
+from tracemill.llm.minhash import ORACLE as NEAR_SQL
+from tracemill.llm.minhash import near_duplicates
 from tracemill.llm.packing import pack
 from tracemill.llm.quality import ORACLE as QUALITY_SQL
 from tracemill.llm.quality import apply_policy, ledger
@@ -40,6 +42,10 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(settle(spark), sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_texts(table(settle(spark), sf_dir, "documents"))
 
@@ -61,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_ledger": QUALITY_SQL}
+    return {"op5_quality_ledger": QUALITY_SQL, "op6_near_duplicates": NEAR_SQL}
