@@ -18,6 +18,7 @@ from tracemill.llm.quality import ORACLE as QUALITY_SQL
 from tracemill.llm.quality import apply_policy, ledger
 from tracemill.llm.records import record_stream
 from tracemill.llm.secrets import scan_texts
+from tracemill.llm.suffix import without_repeats
 from tracemill.session import settle, table, written
 
 
@@ -62,6 +63,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(settle(spark), sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
