@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 SAFE = 2**53 - 1
 
 # Routes with a decoded protocol, and all routes admitted.
-PROTOCOLS = {"/v1/messages": "anthropic_messages", "/v1/responses": "responses", "/v1/chat/completions": "chat_completions"}
-COUNT_ROUTE, DISCOVERY_ROUTE = "/v1/messages/count_tokens", "/v1/models"
+PROTOCOLS = {"POST /v1/messages": "anthropic_messages", "POST /v1/responses": "responses", "POST /v1/chat/completions": "chat_completions"}
+COUNT_ROUTE, DISCOVERY_ROUTE = "POST /v1/messages/count_tokens", "GET /v1/models"
 ROUTES = (*PROTOCOLS, COUNT_ROUTE, DISCOVERY_ROUTE)
 
 # Provider by wire format, and by the start of a model's name, in order.
-WIRE_PROVIDERS = {"claude": "anthropic", "codex": "openai", "gemini": "google", "gemini-cli": "google", "antigravity": "google"}
+WIRE_PROVIDERS = {"claude": "anthropic", "openai": "openai", "openai-response": "openai", "codex": "openai", "gemini": "google", "gemini-cli": "google", "antigravity": "google"}
 MODEL_PROVIDERS = (("^claude-", "anthropic"), (r"^(gpt-|o\d|codex)", "openai"), ("^gemini-", "google"))
 
 # Where each protocol reports a token field; a sum counts absent addends as 0 but needs its first part.
@@ -64,7 +64,7 @@ def normalized_tokens(protocol: str, reported: dict[str, Column]) -> dict[str, C
 
 
 def protocol_for(route: Column) -> Column:
-    return reduce(lambda c, kv: c.when(route == kv[0], kv[1]), list(PROTOCOLS.items())[1:], F.when(route == "/v1/messages", PROTOCOLS["/v1/messages"])).otherwise("unknown")
+    return reduce(lambda c, kv: c.when(route == kv[0], kv[1]), PROTOCOLS.items(), F.when(route == COUNT_ROUTE, "anthropic_messages")).otherwise("unknown")
 
 
 def operation_for(route: Column) -> Column:
@@ -76,7 +76,7 @@ def provider(observed: Column, wire: Column, model: Column) -> Column:
     by_wire = reduce(lambda c, kv: c.when(wire == kv[0], kv[1]), WIRE_PROVIDERS.items(), F)
     by_model = reduce(lambda c, kv: c.when(model.rlike(kv[0]), kv[1]), MODEL_PROVIDERS, F)
     name = F.coalesce(observed, by_wire, by_model)
-    how = F.when(observed.isNotNull(), "observed").when(by_wire.isNotNull(), "derived_from_protocol").when(by_model.isNotNull(), "derived_from_model").otherwise("unavailable")
+    how = F.when(observed.isNotNull(), "observed").when(by_wire.isNotNull(), "derived_from_wire_format").when(by_model.isNotNull(), "derived_from_model").otherwise("unavailable")
     return F.struct(name.alias("provider"), how.alias("provenance"))
 
 

@@ -45,7 +45,7 @@ MODELS = ("claude-x", "gpt-5", "o3-mini", "codex-1", "gemini-2", "llama", "my-gp
 
 @query("""WITH m AS (SELECT p_partkey, ['claude-x', 'gpt-5', 'o3-mini', 'codex-1', 'gemini-2', 'llama', 'my-gpt-5'][p_partkey % 7 + 1] AS model, CASE WHEN p_size % 5 = 0 THEN 'acme' END AS observed, CASE p_size % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' WHEN 2 THEN 'other' END AS wire FROM part),
 n AS (SELECT *, CASE wire WHEN 'claude' THEN 'anthropic' WHEN 'codex' THEN 'openai' END AS w, CASE WHEN starts_with(model, 'claude-') THEN 'anthropic' WHEN regexp_matches(model, '^(gpt-|o[0-9]|codex)') THEN 'openai' WHEN starts_with(model, 'gemini-') THEN 'google' END AS b FROM m)
-SELECT p_partkey, coalesce(observed, w, b) AS provider, CASE WHEN observed IS NOT NULL THEN 'observed' WHEN w IS NOT NULL THEN 'derived_from_protocol' WHEN b IS NOT NULL THEN 'derived_from_model' ELSE 'unavailable' END AS provenance FROM n""")
+SELECT p_partkey, coalesce(observed, w, b) AS provider, CASE WHEN observed IS NOT NULL THEN 'observed' WHEN w IS NOT NULL THEN 'derived_from_wire_format' WHEN b IS NOT NULL THEN 'derived_from_model' ELSE 'unavailable' END AS provenance FROM n""")
 def provider_identity(t: Tables) -> DataFrame:
     model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("p_partkey") % 7 + 1).cast("int"))
     wire = F.when(F.col("p_size") % 4 == 0, "claude").when(F.col("p_size") % 4 == 1, "codex").when(F.col("p_size") % 4 == 2, "other")
@@ -81,7 +81,7 @@ def base64_strict(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", encoded.alias("encoded"), F.octet_length("text").cast("long").alias("n_bytes"), (rules.strict_base64(encoded) == F.col("text").cast("binary")).alias("same"), rules.strict_base64(F.concat(encoded, F.lit("$"))).isNotNull().alias("bad"))
 
 
-@query("SELECT doc_id, CASE WHEN route IN ('/v1/messages', '/v1/responses', '/v1/chat/completions') THEN 'generation' WHEN route = '/v1/messages/count_tokens' THEN 'token_count' WHEN route = '/v1/models' THEN 'discovery' ELSE 'unknown' END AS operation, CASE route WHEN '/v1/messages' THEN 'anthropic_messages' WHEN '/v1/responses' THEN 'responses' WHEN '/v1/chat/completions' THEN 'chat_completions' ELSE 'unknown' END AS protocol FROM (SELECT doc_id, ['/v1/messages', '/v1/responses', '/v1/chat/completions', '/v1/messages/count_tokens', '/v1/models', '/x'][doc_id % 6 + 1] AS route FROM documents)")
+@query("SELECT doc_id, CASE WHEN route IN ('POST /v1/messages', 'POST /v1/responses', 'POST /v1/chat/completions') THEN 'generation' WHEN route = 'POST /v1/messages/count_tokens' THEN 'token_count' WHEN route = 'GET /v1/models' THEN 'discovery' ELSE 'unknown' END AS operation, CASE route WHEN 'POST /v1/messages' THEN 'anthropic_messages' WHEN 'POST /v1/messages/count_tokens' THEN 'anthropic_messages' WHEN 'POST /v1/responses' THEN 'responses' WHEN 'POST /v1/chat/completions' THEN 'chat_completions' ELSE 'unknown' END AS protocol FROM (SELECT doc_id, ['POST /v1/messages', 'POST /v1/responses', 'POST /v1/chat/completions', 'POST /v1/messages/count_tokens', 'GET /v1/models', '/x'][doc_id % 6 + 1] AS route FROM documents)")
 def route_protocol(t: Tables) -> DataFrame:
     route = F.element_at(F.array(*map(F.lit, (*rules.ROUTES, "/x"))), (F.col("doc_id") % 6 + 1).cast("int"))
     return t.documents.select("doc_id", rules.operation_for(route).alias("operation"), rules.protocol_for(route).alias("protocol"))
