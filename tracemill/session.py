@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
-#: What results depend on; sizes are left to the cluster.
+#: What results depend on, and how many rows a Python worker is sent at a time (texts are long); other sizes are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 _shipped: set[str] = set()
