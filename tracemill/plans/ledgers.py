@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import admission, sequences
+from tracemill.operators import admission, delivery, sequences
+from tracemill.operators.calls import coverage
+from tracemill.operators.calls import summary_view as summaries
 from tracemill.plans.reads import E_SQL, events
 from tracemill.plans.registry import Tables, query
 
@@ -203,3 +205,42 @@ def outbox_counts(t: Tables) -> DataFrame:
 @query("SELECT lang, sum(strlen(text)) AS payload_bytes FROM documents WHERE source <> 'src0' GROUP BY lang")
 def destination_counts(t: Tables) -> DataFrame:
     return t.documents.where("source <> 'src0'").groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("payload_bytes"))
+
+
+@query(f"""WITH b AS (SELECT user_id % 10 AS source, max(user_id) AS boot FROM events GROUP BY 1)
+SELECT event_id, CASE WHEN e.event_type = 'view' AND b.boot <> e.user_id THEN 'unknown' WHEN e.event_type = 'view' THEN 'in_progress' ELSE 'succeeded' END AS state, CASE WHEN e.event_type = 'view' AND b.boot <> e.user_id THEN 'capture_boot_changed' ELSE '' END AS gaps FROM {E_SQL} JOIN b ON b.source = e.user_id % 10""")
+def summary_view(t: Tables) -> DataFrame:
+    """Views as calls in progress; the user with the highest id is the current boot of a source."""
+    open_ = F.col("event_type") == "view"
+    c = events(t).select("event_id", (F.col("user_id") % 10).alias("source"), F.col("user_id").alias("boot"), F.when(open_, "in_progress").otherwise("succeeded").alias("state"), F.when(~open_, F.col("event_id")).alias("terminal_sequence"), F.array().cast("array<string>").alias("gaps"))
+    found = summaries(c, c.groupBy("source").agg(F.max("boot").alias("boot")), ["source"])
+    return found.select("event_id", "state", F.array_join("gaps", ",").alias("gaps"))
+
+
+@query("""SELECT o_custkey AS source, complete FROM (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 16), (SELECT count(DISTINCT o_custkey) <= 16 AS complete FROM orders)""")
+def capture_coverage(t: Tables) -> DataFrame:
+    return coverage(t.orders.select(F.col("o_custkey").alias("source")).distinct(), "source")
+
+
+@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS batch_id, CASE WHEN l_returnflag = 'N' THEN 'pending' ELSE 'delivering' END AS state, l_linenumber::BIGINT AS attempts, l_linenumber::BIGINT AS "first", l_linenumber::BIGINT + l_quantity::BIGINT % 3 AS through, [0, 200, 400, 413, 429, 503][l_partkey % 6 + 1] AS status FROM lineitem),
+c AS (SELECT *, CASE WHEN state = 'delivering' THEN CASE WHEN status = 200 THEN 'delivered' WHEN status IN (0, 429, 503) THEN 'retry' WHEN status = 413 AND through > "first" THEN 'split' ELSE 'quarantine' END END AS class FROM b)
+SELECT state, sum(n) AS n, sum(wait_s) AS wait_s FROM (SELECT CASE class WHEN 'delivered' THEN 'delivered' WHEN 'retry' THEN 'pending' WHEN 'split' THEN 'superseded' WHEN 'quarantine' THEN 'quarantined' ELSE state END AS state, 1 AS n, CASE WHEN class = 'retry' THEN least(300.0, pow(2.0, least(attempts + 1, 8))) END AS wait_s FROM c) GROUP BY state""")
+def batch_transitions(t: Tables) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, (0, 200, 400, 413, 429, 503))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    line = F.col("l_linenumber").cast("long")
+    rows = t.lineitem.select(F.monotonically_increasing_id().alias("batch_id"), F.when(F.col("l_returnflag") == "N", "pending").otherwise("delivering").alias("state"), line.alias("attempts"), line.alias("first"), (line + F.col("l_quantity").cast("long") % 3).alias("through"), status.alias("status"))
+    kept = rows.drop("status")
+    moved = delivery.transitions(kept, rows.select("batch_id", "status"))
+    return moved.groupBy("state").agg(F.count("*").alias("n"), F.sum("wait_s").alias("wait_s"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n = 0 THEN 'credential_missing' WHEN n = 2 THEN 'credential_ambiguous' WHEN c_nationkey IS NULL THEN 'credential_unbound' WHEN o_orderkey % 25 <> c_nationkey AND o_orderkey % 2 = 0 THEN 'destination_mismatch' END AS scope_error
+  FROM (SELECT *, (o_orderkey % 3)::INT AS n FROM orders) LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 AND n = 1""")
+def scope_resolution(t: Tables) -> DataFrame:
+    own = F.concat(F.lit("k"), F.col("o_custkey"))
+    keys = F.when(F.col("o_orderkey") % 3 == 1, F.array(own)).when(F.col("o_orderkey") % 3 == 2, F.array(own, F.lit("other"))).otherwise(F.array().cast("array<string>"))
+    bindings = t.customer.where("c_acctbal > 0").select(F.concat(F.lit("k"), F.col("c_custkey")).alias("key"), F.col("c_nationkey").cast("long").alias("destination"), F.lit("r").alias("revision"))
+    seen = t.orders.select("o_orderkey", keys.alias("keys"), "o_custkey", F.lit("r").alias("revision"), F.lit("GET /v1/models").alias("route"))
+    # Even orders claim a destination of their own, odd ones that of their customer.
+    claimed = seen.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("home")), "o_custkey", "left").withColumn("destination", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 25).otherwise(F.col("home")))
+    return delivery.resolved_scopes(claimed, bindings).select("o_orderkey", "scope_error")
