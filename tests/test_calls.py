@@ -194,3 +194,24 @@ def test_shuffled_segments(spark):
         f = CallFold()
         segments.fold_segments(f, random.Random(seed).sample(rows, len(rows)))
         assert f.call == expected.call
+
+
+def test_data_source(spark, tmp_path):
+    from tracemill.sources.datasource import register
+
+    register(spark)
+    for k, r in enumerate(cut_up("POST /v1/messages", 4)):
+        (tmp_path / f"{k}.ndjson").write_text(r + "\n")
+    (tmp_path / "bad.ndjson").write_text("{}\n")
+    found = spark.read.format("capture_segments").load(str(tmp_path)).collect()
+    assert sum(r.error is None for r in found) == len(cut_up("POST /v1/messages", 4)) and sum(r.error == "identity" for r in found) == 1
+
+
+def test_sql_functions(spark):
+    from tracemill.functions.udfs import register
+
+    register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM sse_frames(encode('event: a\ndata: 1\n\ndata: x', 'utf-8'))").collect()] == [(0, "a", "1", None), (1, None, None, "truncated_frame")]
+    assert [bytes(r.piece) for r in spark.sql("SELECT * FROM expand_block(encode('abcde', 'utf-8'), array(2, 0, 3))").collect()] == [b"ab", b"", b"cde"]
+    row = spark.sql("""SELECT normalize_usage('responses', '{"input_tokens": 60, "output_tokens": 5}') u, provider_identity(NULL, 'codex', 'claude-1') p, decode_input('{"messages":[]}') d""").first()
+    assert json.loads(row.u)["inputTokens"] == 60 and tuple(row.p) == ("openai", "derived_from_wire_format") and json.loads(row.d) == {"kind": "decoded", "messages": []}

@@ -115,3 +115,34 @@ def test_content():
     assert [decode_input(r)["kind"] for r in (None, "{", "{}", '{"messages":[{"role":"critic","content":"x"},{"role":5}]}', '{"messages":[{"role":"user"}]}')] == ["absent", "invalid", "unsupported", "unsupported", "invalid"]
     assert decode_output('{"completion":"x","reasoning":null,"tools":[{"type":"function","function":{"name":"f"}}]}') == {"kind": "decoded", "text": "x", "tool_definitions": [{"name": "f"}], "reasoning": None}
     assert [decode_output(r)["kind"] for r in ('{"x":1}', '{"completion":5}')] == ["unsupported", "invalid"]
+
+
+def test_readers_and_delivery(spark):
+    from tracemill.operators import calls
+    from tracemill.operators import delivery as batches
+    from tracemill.plans.readers import TraceReader, resolve_blobs
+
+    rows = spark.createDataFrame([("t", f"s{k}", "n" * 200, "r", 5 + k // 4, k) for k in range(8)], "traceId string, spanId string, name string, requestId string, receivedAt long, creationTime long")
+    reader, cursor, seen = TraceReader(rows), None, []
+    for _ in range(3):
+        p = reader.page_correlation_summaries({"requestId": "r"}, 3, cursor)
+        seen += [x["spanId"] for x in p["page"]]
+        cursor = p["cursor"]
+    assert seen == [f"s{k}" for k in range(7, -1, -1)] and p["done"] and len(p["page"][0]["name"]) == 128 and p["page"][0]["clippedFields"] == ["name"]
+    with pytest.raises(ValueError):
+        reader.page_correlation_summaries({"requestId": "r"}, 8)
+    halves = batches.split_batches(spark.createDataFrame([(1, 5, 9)], "batch_id long, first long, through long")).orderBy("half").collect()
+    assert [(h.first, h.through) for h in halves] == [(5, 7), (8, 9)]
+    clean = batches.without_credentials(spark.createDataFrame([("has sekret", "ok", "sekret"), ("a\nb", None, "k")], "x string, y string, key string"), ["x", "y"], "key").collect()
+    assert [(r.x, r.y, r.omissions) for r in clean] == [(None, "ok", ["x"]), (None, None, ["x"])]
+    a = [attribute("gen_ai.usage.input_tokens", intValue=3), attribute("gen_ai.request.model", stringValue="gpt-5"), attribute("gen_ai.usage.total_cost", doubleValue=0.5)]
+    s = otlp.spans(parsed(spark, delivery(a)))
+    one, old = calls.from_spans(s).first(), calls.from_spans(s, legacy=True).first()
+    assert (one.provider, one.cost, one.inputTokens, one.callId, old.provider, old.cost) == ("openai", 0.5, 3, "openrouter:s", None, None)
+    ref = ("o", "k", "0" * 64, 3, "t", "binary")
+    schema = "owner string, key string, sha256 string, byteLength long, contentType string, encoding string"
+    wanted = spark.createDataFrame([ref], schema)
+    objects = spark.createDataFrame([("k", b"abc")], "key string, bytes binary")
+    assert resolve_blobs(wanted, wanted.limit(0), objects, 10).count() == 0
+    with pytest.raises(Exception, match="reference"):
+        resolve_blobs(wanted, wanted, objects, 10).collect()
