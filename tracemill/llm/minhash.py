@@ -34,7 +34,7 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 # Odd multipliers of the mixing steps: the digits of the golden ratio and of the square roots of 3 and 7, made odd.
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B, 0xA54FF53A5F1D36F1))
-_words = ChunkTable(xxhash.xxh3_64_intdigest, limit=300_000)
+_words = ChunkTable(xxhash.xxh3_64_intdigest, limit=100_000)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
