@@ -138,7 +138,7 @@ def test_readers_and_delivery(spark):
     a = [attribute("gen_ai.usage.input_tokens", intValue=3), attribute("gen_ai.request.model", stringValue="gpt-5"), attribute("gen_ai.usage.total_cost", doubleValue=0.5)]
     s = otlp.spans(parsed(spark, delivery(a)))
     one, old = calls.from_spans(s).first(), calls.from_spans(s, legacy=True).first()
-    assert (one.provider, one.cost, one.inputTokens, one.callId, old.provider, old.cost) == ("openai", 0.5, 3, "openrouter:s", None, None)
+    assert (one.provider, one.cost, one.inputTokens, one.callId, old.provider, old.cost) == ("openai", 0.5, 3, "span:s", None, None)
     ref = ("o", "k", "0" * 64, 3, "t", "binary")
     schema = "owner string, key string, sha256 string, byteLength long, contentType string, encoding string"
     wanted = spark.createDataFrame([ref], schema)

@@ -9,16 +9,15 @@ from tracemill.functions.rules import TOKEN_FIELDS, cost, provider, safe_count
 from tracemill.operators.paging import last_of
 
 
-def from_spans(spans: DataFrame, legacy: bool = False) -> DataFrame:
-    """Calls out of span rows. Counts that aren't safe whole numbers are none; legacy rows have neither cost nor provider."""
+def from_spans(spans: DataFrame, legacy: bool = False, prefix: str = "") -> DataFrame:
+    """Calls out of span rows, their ids after `prefix`. Counts that aren't safe whole numbers are none; legacy rows have neither cost nor provider."""
     none = F.lit(None).cast("string")
     who = F.struct(none.alias("provider"), F.lit("unavailable").alias("provenance")) if legacy else provider(F.col("providerName"), none, F.col("requestModel"))
     price = F.lit(None).cast("double") if legacy else cost(F.col("totalCost"), F.col("openrouterUsageCost"), F.col("isByok"), F.col("byokInferenceUsageCost"))
     tokens = {f: safe_count(F.col(f)) for f in TOKEN_FIELDS}
     usage = F.array_compact(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(f).alias("nativeField"), c.alias("value"), F.lit("final").alias("finality"))) for f, c in tokens.items())))
     start, end = F.col("startTimeUnixNano").cast("long"), F.col("endTimeUnixNano").cast("long")
-    prefix = "cliproxy_legacy:" if legacy else "openrouter:"
-    return spans.select(F.concat(F.lit(prefix), F.coalesce("generationId", "spanId")).alias("callId"), F.lit("legacy" if legacy else "span").alias("source"), "traceId", "spanId", "requestModel", "responseModel", who["provider"].alias("provider"), who["provenance"].alias("providerProvenance"), F.lit("generation").alias("operation"), F.when(F.col("finishReason").isNotNull(), "succeeded").otherwise("unknown").alias("state"), ((end - start) / 1e6).alias("latencyMs"), price.alias("cost"), F.when(price.isNull(), "unknown").otherwise("reported").alias("costProvenance"), *(c.alias(f) for f, c in tokens.items()), usage.alias("usage"))
+    return spans.select(F.concat(F.lit(prefix or ("legacy:" if legacy else "span:")), F.coalesce("generationId", "spanId")).alias("callId"), F.lit("legacy" if legacy else "span").alias("source"), "traceId", "spanId", "requestModel", "responseModel", who["provider"].alias("provider"), who["provenance"].alias("providerProvenance"), F.lit("generation").alias("operation"), F.when(F.col("finishReason").isNotNull(), "succeeded").otherwise("unknown").alias("state"), ((end - start) / 1e6).alias("latencyMs"), price.alias("cost"), F.when(price.isNull(), "unknown").otherwise("reported").alias("costProvenance"), *(c.alias(f) for f, c in tokens.items()), usage.alias("usage"))
 
 
 def summary_view(calls: DataFrame, sources: DataFrame, source: list[str], gap: str = "capture_boot_changed") -> DataFrame:
