@@ -30,10 +30,10 @@ LENGTH, GRAM, COVER = 400, 32, 64
 #: Positions modulo COVER that are sampled: with R = 8, all below R and all multiples of R, so every difference is one of two members.
 SAMPLED = np.isin(np.arange(COVER), [*range(8), *range(0, COVER, 8)])
 #: Bytes that a task looks at together; bytes of a block of buckets; contexts from which a bucket is spread.
-TEXTS, BLOCK, SPREAD = 1 << 22, 1 << 23, 8192
+TEXTS, BLOCK, SPREAD = 1 << 21, 1 << 21, 2048
 PLACE_BITS = 28
 
-CONTEXTS = pa.schema([("did", pa.int64()), ("td", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("digest", pa.int64())])
+CONTEXTS = pa.schema([("did", pa.int64()), ("td", pa.int64()), ("starts", pa.list_(pa.int64())), ("n", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("digest", pa.int64())])
 BODIES = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("body", pa.binary())])
 RANGES = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("ranges", pa.list_(pa.int64()))])
 PRINTS = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("key", pa.int64()), ("digest", pa.int64()), ("place", pa.int64())])
@@ -108,8 +108,15 @@ def _find_contexts(length: int):
                 firsts = ends - np.array([p[3].size for p in parts])
                 flat = memoryview(data)
                 digests = [xxhash.xxh3_64_intdigest(flat[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
-                columns = [np.array([p[0] for p in parts], np.int64)[of], np.array([p[1] for p in parts], np.int64)[of], start - firsts[of] + np.array([p[2] for p in parts], np.int64)[of], n, anchor, key.view(np.int64), np.array(digests, np.uint64).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=CONTEXTS)
+                digest = np.array(digests, np.uint64)
+                # A text's equal contexts, of which periodic texts have very many, leave as one row.
+                order = np.lexsort((start, digest, key, of))
+                of, start, n, anchor, key, digest = (x[order] for x in (of, start, n, anchor, key, digest))
+                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]))) if len(of) else np.zeros(0, np.int64)
+                did, td, at = (np.array([p[k] for p in parts], np.int64)[of] for k in range(3))
+                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(of)), pa.int32()), pa.array(start - firsts[of] + at, pa.int64()))
+                columns = [did[new], td[new], starts, n[new], anchor[new], key[new].view(np.int64), digest[new].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([c if c is starts else pa.array(c, pa.int64()) for c in columns], schema=CONTEXTS)
 
     return run
 
@@ -224,12 +231,12 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def repeated_suffixes(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
-    """did, td, found: for each text with repeated suffixes, its runs of them as (start, n, ranges), ranges null where all n repeat."""
+    """did, td, found: for each text with repeated suffixes, its runs of them as (starts, n, ranges), ranges null where all n repeat."""
     named = _named(docs)
     every = written(named.select("did", "td", "raw").mapInArrow(_find_contexts(length), ddl(CONTEXTS)), "contexts")
-    reached = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    reached = every.groupBy("key").agg(F.sum(F.size("starts")).alias("c")).where("c > 1").select("key")
     some = written(every.join(reached, "key", "left_semi"), "shared")
-    distinct = written(some.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min(F.struct("did", "td", "start", "n", "anchor")).alias("one")), "distinct")
+    distinct = written(some.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("times"), F.min(F.struct("did", "td", F.get("starts", F.lit(0)).alias("start"), "n", "anchor")).alias("one")), "distinct")
     mixed = distinct.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     wanted = distinct.join(mixed, "key").select("key", "digest", "times", "m", "one.*")
     # `times` decides whether a context asks for ranges; its bytes count against others in any case.
@@ -244,7 +251,7 @@ def repeated_suffixes(docs: DataFrame, length: int = LENGTH, spread: int = SPREA
     whole = distinct.where("times > 1").select("key", "digest", F.lit(None).cast("array<long>").alias("ranges"))
     partly = ranges.join(distinct.where("times = 1").select("key", "digest"), ["key", "digest"], "left_semi")
     known = whole.unionByName(partly)
-    return some.join(known, ["key", "digest"]).groupBy("did", "td").agg(F.collect_list(F.struct("start", "n", "ranges")).alias("found"))
+    return some.join(known, ["key", "digest"]).groupBy("did", "td").agg(F.collect_list(F.struct("starts", "n", "ranges")).alias("found"))
 
 
 def removed_runs(found: list[dict], length: int) -> list[tuple[int, int]]:
@@ -252,7 +259,7 @@ def removed_runs(found: list[dict], length: int) -> list[tuple[int, int]]:
     covers = []
     for f in found:
         for a, b in zip(f["ranges"][0::2], f["ranges"][1::2], strict=True) if f["ranges"] is not None else ((0, f["n"]),):
-            covers.append((f["start"] + a, f["start"] + b - 1 + length))
+            covers += [(start + a, start + b - 1 + length) for start in f["starts"]]
     out: list[tuple[int, int]] = []
     for a, b in sorted(covers):
         if out and a <= out[-1][1]:
