@@ -81,5 +81,5 @@ def id_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
     whole = lambda text: np.array(v.whole(text), kind).tobytes()
     if not v.chunked:
         return whole, kind
-    known = ChunkTable(whole).__getitem__
+    known = ChunkTable(whole, limit=1_000_000).__getitem__
     return (lambda text: whole(text) if any(s in text for s in v.special) else b"".join(map(known, chunks(text)))), kind
