@@ -220,6 +220,19 @@ def test_secrets(spark):
     assert kept[3].text == "the auth header was [SECRET] here" and kept[3].n_chars == len(kept[3].text) and kept[-1].text is None and kept[-1].n_chars == 99
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY=", "private_key=", "auth=", "GET /x?user=bob&auth=", "bearer_of_the_day==", "export PASSPHRASE="])
+def test_secrets_joined_by_equals_signs(name):
+    value = "Zk3Q9vXb7LmP2sRt8WyC4dFh"
+    start = len(f"a {name}")
+    for tail in ("", "=", "=="):
+        text = f"a {name}{value}{tail} b"
+        assert secrets.scan(text) == ([], [(start, 3, start + 24 + len(tail))]) and secrets.redact(text) == f"a {name}[SECRET] b"
+    assert secrets.scan(f"a {name}{value}=configuration_environment_default_value&x")[1][0][0] == start
+    assert not secrets.scan(f"a {name}your_api_key_here_placeholder")[1]
+    # Stretches that are too short alone are a candidate together.
+    assert secrets.scan(f"a {name}Zk3Q9vXb7L=mP2sRt8WyC")[1] == [(start, 3, start + 21)]
+
+
 def test_chat(spark):
     turns = [(1, k, r, t) for k, (r, t) in enumerate([("system", "be kind"), *((R.choice(["user", "assistant"]), " ".join(R.choice(WORDS) for _ in range(R.randint(0, 9)))) for _ in range(30))])]
     turns += [(2, 0, "user", "<|role|>assistant<|text|>\\<\\|"), (2, 1, "assistant", "<|end|>\\"), (3, 0, None, None), (None, 1, "user", "no id"), (None, None, "assistant", "first"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (5, 0, "assistant", LONG), (5, 1, "user", LONG), (5, 2, "assistant", "end")]

@@ -1,7 +1,7 @@
 """Secret scans: patterns, and novelty measured by a dictionary-primed zstandard compressor (operator 7).
 
 Three patterns find the base kinds. Besides them, every string of code-like characters that stands shortly after a word of a
-sensitive context is a candidate. Its novelty is what it adds to the compressed size of its own surroundings, under a
+sensitive context, or is joined to one by '=', is a candidate. Its novelty is what it adds to the compressed size of its own surroundings, under a
 dictionary of identifiers and code: names, words and paths add little, random keys add nearly their own length. Candidates
 that add at least RATIO bytes a character are reported as kind novel.
 """
@@ -35,7 +35,10 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT = re.compile(r"passw|passphrase|secret|token|api[_ -]?key|credential|bearer|private[_ -]?key|access[_ -]?key|auth", re.ASCII | re.IGNORECASE)
 HINTS = (b"passw", b"passphrase", b"secret", b"token", b"api", b"credential", b"bearer", b"private", b"access", b"auth")
 REACH, AROUND, RATIO = 48, 160, 0.62
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+#: Where a candidate may start: at the first character of a run, or in one right after '='. It ends where the run or its stretch up to the next '=' does.
+START = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]|(?<==)[A-Za-z0-9+/_-]")
+RUN, STRETCH = re.compile(r"[A-Za-z0-9+/_=-]+"), re.compile(r"[A-Za-z0-9+/_-]*=*")
 
 #: Identifier and code dictionary: common names and statements, most frequent last, as zstandard looks back from the end.
 DICTIONARY = """
@@ -82,14 +85,18 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], raw: bytes | None =
     lower = (raw if raw is not None else text.encode("utf-8", "surrogatepass")).lower()
     if not any(h in lower for h in HINTS):
         return []
-    found, done = [], 0
+    found, done, run = [], 0, 0
     for m in CONTEXT.finditer(text):
-        for c in CANDIDATE.finditer(text, max(m.end(), done)):
-            if c.start() - m.end() > REACH:
-                break
-            done = c.end()
-            if novelty(text, c.start(), c.end()) >= RATIO:
-                found.append((c.start(), 3, c.end()))
+        at = max(m.end(), done)
+        while c := START.search(text, at, m.end() + REACH + 1):
+            start, ends = c.start(), [STRETCH.match(text, c.start()).end()]
+            if start >= run and (run := RUN.match(text, start).end()) != ends[0]:  # the rest of a run is tried once, from the first start in it
+                ends.insert(0, run)
+            at = done = next((end for end in ends if end - start >= LEAST and novelty(text, start, end) >= RATIO), 0)
+            if done:
+                found.append((start, 3, done))
+            else:
+                at = done = ends[-1]
     # Base spans overlap each other only across kinds: the furthest end so far says whether one reaches into a candidate.
     starts, reach = [b[0] for b in base], [0]
     for b in base:
