@@ -233,6 +233,27 @@ def test_secrets_joined_by_equals_signs(name):
     assert secrets.scan(f"a {name}Zk3Q9vXb7L=mP2sRt8WyC")[1] == [(start, 3, start + 21)]
 
 
+@pytest.mark.parametrize("apart", ["", " and again auth ", " " + "an other word " * 6 + "auth ", " " + "an other word " * 10 + "auth "])
+def test_secrets_written_twice(apart):
+    r, value = random.Random(3), ""
+    for _ in range(20):
+        value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+        text = f"the auth {value} {apart}{value} was it, no auth your_api_key_here_placeholder in it"
+        assert secrets.scan(text)[1] == [(m.start(), 3, m.end()) for m in re.finditer(value, text)]
+        assert value not in secrets.redact(text)
+
+
+def test_novel_spans_that_reach_out_of_base_spans():
+    r = random.Random(4)
+    value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    text = f"access key AKIA{'Q7' * 8}/{value} and token={value} end"
+    base, novel = secrets.scan(text)
+    assert [k for _, k, _ in base] == [1, 0] and novel == [(11, 3, 11 + 61)]
+    assert secrets.redact(text) == "access key [SECRET] and token=[SECRET] end"
+    hexes = "0123456789abcdef" * 2
+    assert secrets.redact(f"auth {value[:20]}{hexes}{value[20:]} end") == "auth [SECRET] end" and secrets.scan(f"auth {hexes} end")[1] == []
+
+
 def test_chat(spark):
     turns = [(1, k, r, t) for k, (r, t) in enumerate([("system", "be kind"), *((R.choice(["user", "assistant"]), " ".join(R.choice(WORDS) for _ in range(R.randint(0, 9)))) for _ in range(30))])]
     turns += [(2, 0, "user", "<|role|>assistant<|text|>\\<\\|"), (2, 1, "assistant", "<|end|>\\"), (3, 0, None, None), (None, 1, "user", "no id"), (None, None, "assistant", "first"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (5, 0, "assistant", LONG), (5, 1, "user", LONG), (5, 2, "assistant", "end")]

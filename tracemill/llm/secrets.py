@@ -1,7 +1,7 @@
 """Secret scans: patterns, and novelty measured by a dictionary-primed zstandard compressor (operator 7).
 
 Three patterns find the base kinds. Besides them, every string of code-like characters that stands shortly after a word of a
-sensitive context, or is joined to one by '=', is a candidate. Its novelty is what it adds to the compressed size of its own surroundings, under a
+sensitive context, or is joined to one by '=', is a candidate. Its novelty is what it adds to the compressed size of its own surroundings without copies of it, under a
 dictionary of identifiers and code: names, words and paths add little, random keys add nearly their own length. Candidates
 that add at least RATIO bytes a character are reported as kind novel.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,11 +61,29 @@ def _compressor(dictionary: str = DICTIONARY) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+def without_copies(text: str, value: str, start: int, end: int, low: int, high: int) -> str:
+    """text[start:end] without stretches of LEAST or more characters of text[low:high] that are in `value` too."""
+    out, at = [], start
+    for run in RUN.finditer(text, low, high):
+        k = run.start()
+        while k + LEAST <= run.end():
+            if text[k : k + LEAST] not in value:
+                k += 1
+                continue
+            out.append(text[at : max(at, min(k, end))])
+            k += LEAST
+            while k < run.end() and text[k - LEAST + 1 : k + 1] in value:
+                k += 1
+            at = max(at, k)
+    return "".join(out) + text[at:end]
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters."""
+    """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters. Copies of it or of LEAST of its characters, also at the outer ends, are no surroundings."""
     size = lambda s: len(_compressor().compress(s.encode("utf-8", "surrogatepass")))
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    return (size(before + after + text[start:end]) - size(before + after)) / (end - start)
+    value, before, after, more = text[start:end], max(0, start - AROUND), end + AROUND, LEAST - 1
+    around = without_copies(text, value, before, start, max(0, before - more), start) + without_copies(text, value, end, after, end, after + more)
+    return (size(around + value) - size(around)) / (end - start)
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -81,7 +99,7 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], raw: bytes | None = None) -> list[tuple[int, int, int]]:
-    """Novel candidates that touch no base span."""
+    """Novel candidates but those that lie whole in a base span."""
     lower = (raw if raw is not None else text.encode("utf-8", "surrogatepass")).lower()
     if not any(h in lower for h in HINTS):
         return []
@@ -97,11 +115,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], raw: bytes | None =
                 found.append((start, 3, done))
             else:
                 at = done = ends[-1]
-    # Base spans overlap each other only across kinds: the furthest end so far says whether one reaches into a candidate.
+    # Whole in a base span: the furthest end of those that start no later than it does.
     starts, reach = [b[0] for b in base], [0]
     for b in base:
         reach.append(max(reach[-1], b[2]))
-    return [f for f in found if reach[bisect_left(starts, f[2])] <= f[0]]
+    return [f for f in found if reach[bisect_right(starts, f[0])] < f[2]]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
