@@ -66,6 +66,25 @@ def test_media(spark, docs):
         media.from_image(media.to_image(b"abc")[:-1])
 
 
+CAPTIONS = {
+    "<figure><img src=a><figcaption>A<br>B</figcaption></figure>t": [("a", "A B"), "t"],
+    "<figure><img src=a><figcaption><p>Cap</p><p>two</p></figcaption></figure>": [("a", "Cap two")],
+    "<figure><figcaption>Cap</figcaption><img src=a><p>in</p><img src=b alt=x></figure><img src=c alt=y>": [("a", "Cap"), "in", ("b", "Cap"), ("c", "y")],
+    "<img src=a alt=x><p>s</p><figcaption>Cap <b>it</b></figcaption>t": [("a", "x"), "s", "Cap it", "t"],
+    "<figure><figcaption>Cap</figcaption><pre>code</pre></figure>t": ["Cap", "code", "t"],
+    "<figure><figure><img src=a><figcaption>A</figcaption></figure><figcaption>B</figcaption></figure>": [("a", "A"), "B"],
+    "<figure><img src=a alt=x><figcaption> <br> </figcaption></figure>": [("a", "x")],
+    "<figure><img src=a><figcaption>never closed": [("a", "never closed")],
+    "<figure><figure><img src=a><figcaption>A</figcaption></figure><img src=b><figcaption>B</figcaption></figure>": [("a", "A"), ("b", "B")],
+    "<figure><figcaption>See <img src=a> here</figcaption></figure>": [("a", "See here")],
+}
+
+
+@pytest.mark.parametrize("page", list(CAPTIONS))
+def test_captions(page):
+    assert [(p[2], p[3]) if p[0] == "media" else p[1] for p in media.parse(page)] == CAPTIONS[page]
+
+
 def test_bpe(docs):
     codec = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})

@@ -72,13 +72,47 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
         self.text: list[str] = []
-        self.hidden, self.figure, self.caption = 0, None, None
+        self.hidden = 0
+        #: Open figures: the place of the first part in each, and its figcaptions with their places. The open figcaption: its pieces, place, and figure or none.
+        self.figures: list[tuple[int, list[tuple[int, str]]]] = []
+        self.caption: tuple[list[str], int, tuple[int, list[tuple[int, str]]] | None] | None = None
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
             self.parts.append(["text", text, None, None])
         self.text = []
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        pieces, place, figure = self.caption
+        self.caption = None
+        if said := " ".join("".join(pieces).split()):
+            if figure is None:
+                self.parts.insert(place, ["text", said, None, None])
+            else:
+                figure[1].append((place, said))
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        at, said = self.figures.pop()
+        # A figure in a figure has given its own media their caption already.
+        if media := [part for part in self.parts[at:] if part[0] == "media" and len(part) == 4] if said else []:
+            for part in media:
+                part[3:] = " ".join(text for _, text in said), True
+        else:
+            for place, text in reversed(said):
+                self.parts.insert(place, ["text", text, None, None])
+
+    def finish(self) -> list[list]:
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+        return [part[:4] for part in self.parts]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in HIDDEN:
             self.hidden += 1
@@ -87,45 +121,48 @@ class _Sequence(HTMLParser):
             a = dict(attrs)
             self.parts.append(["media", None, a.get("src") or "", a.get("alt") or None])
         elif tag == "figure":
+            self.end_caption()
             self.flush()
-            self.figure = len(self.parts)
+            self.figures.append((len(self.parts), []))
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
-            self.caption = self.text = []
+            self.caption = [], len(self.parts), self.figures[-1] if self.figures else None
         elif tag in BLOCKS:
-            self.flush()
+            self.block()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.text, self.caption = " ".join("".join(self.caption).split()), [], None
-            for part in self.parts[self.figure or 0 :]:
-                if part[0] == "media":
-                    part[3] = said or part[3]
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
-            self.flush()
-            self.figure = None
+            if self.figures:
+                self.end_figure()
         elif tag in BLOCKS:
+            self.block()
+
+    def block(self) -> None:
+        if self.caption is None:
             self.flush()
+        else:
+            self.caption[0].append(" ")
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.text.append(data)
+            (self.text if self.caption is None else self.caption[0]).append(data)
 
 
 def parse(html: str) -> list[list]:
     p = _Sequence()
     p.feed(html)
-    p.close()
-    p.flush()
-    return p.parts
+    return p.finish()
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """A row for each part of each page: doc_id, position (from 0), kind (text or media), text, reference (a media part's src) and caption.
 
-    A caption is the figcaption of the figure around the image, else its alt text, else null. Null and empty pages have no part;
+    A caption is the figcaption of the nearest figure around the image that has one, else its alt text, else null; a figcaption without a figure or images is text. Null and empty pages have no part;
     null and repeated ids are kept; text outside of tags is a part; hidden elements aren't; columns of other names aren't carried.
     """
 
