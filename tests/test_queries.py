@@ -4,6 +4,7 @@ import math
 import os
 from decimal import Decimal
 from pathlib import Path
+from urllib.parse import quote
 
 import duckdb
 import pytest
@@ -45,5 +46,17 @@ def test_query(spark, duck, name):
     assert rows == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
 
 
+def test_every_url_is_encoded(spark, duck, tmp_path):
+    urls = ["https://a.b/c?d=e&f=g#h", "a b+c%20%2f", "~!'()*-_.", "/日本/é\U0001f600", "", "\"<>[]{}|\\^`\n;,@$", None]
+    rows = [(k, u, "") for k, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    # What encodeURIComponent leaves as it is.
+    wanted = [(k, u, None if u is None else quote(u, safe="-_.!~*'()")) for k, u, _ in rows]
+    assert sorted(tuple(r) for r in entry_module.queries()["path_encode_all"](spark, str(tmp_path)).collect()) == wanted
+    sql = entry_module.oracle_sql()["path_encode_all"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(duck.execute(sql).fetchall()) == wanted
+    assert entry_module.queries()["path_encode_all"](spark, SF_DIR).count() == duck.execute("SELECT count(*) FROM pages").fetchone()[0]
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).limit(1).count() == 1

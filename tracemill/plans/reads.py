@@ -145,6 +145,14 @@ def path_encode(t: Tables) -> DataFrame:
     return t.pages.where(F.col("url").rlike(r"^[A-Za-z0-9/:._-]*$")).select("page_id", "url", percent_encoded(F.col("url")).alias("encoded"))
 
 
+@query("SELECT page_id, url, replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS encoded FROM pages")
+def path_encode_all(t: Tables) -> DataFrame:
+    """path_encode on every page. DuckDB's url_encode keeps ~ and writes %20, Spark's keeps * and writes +."""
+    from tracemill.functions.rules import percent_encoded
+
+    return t.pages.select("page_id", "url", percent_encoded(F.col("url")).alias("encoded"))
+
+
 @query(f"""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY received_at, event_id) AS k FROM {E_SQL}) WHERE k = 1""")
 def first_wins(t: Tables) -> DataFrame:
     return admission.first_wins(events(t), ["user_id", "event_type"], ["received_at", "event_id"]).select("user_id", "event_type", "event_id", "value")
