@@ -195,6 +195,15 @@ def test_near_duplicates(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS) for _ in range(200)) for _ in range(3)]
+    rows = [(50, t) for t in texts] + [(60 + k, t + " tail") for k, t in enumerate(texts)]
+    for order in (rows, rows[::-1]):
+        found = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((x.doc_id, x.component_id, x.kept) for x in found) == [(50, 50, True)] * 3 + [(60 + k, 50, False) for k in range(3)]
+
+
 def test_sketches_and_blocks():
     rng = np.random.default_rng(1)
     pool = np.unique(minhash.mix(np.arange(4000, dtype=np.uint64)))

@@ -144,8 +144,8 @@ def verified_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFr
     def compare(table: pa.Table) -> pa.Table:
         sides: tuple[dict, dict] = ({}, {})
         for node, block, lo, hi, raw in zip(*(table[c].to_pylist() for c in ("node", "block", "lo", "hi", "shingles")), strict=True):
-            sides[block != lo][node] = np.frombuffer(raw, np.uint64)
-        left, right = (sorted(s.items(), key=lambda x: x[0]) for s in sides)
+            sides[block != lo][node, raw] = np.frombuffer(raw, np.uint64)  # an id may have several texts, so sets
+        left, right = ([(node, s) for (node, _), s in sorted(side.items(), key=lambda x: x[0])] for side in sides)
         return pa.Table.from_batches([record_batch(block_links(left, right or None, percent) if left and (right or lo == hi) else [], LINKS)])
 
     return sets.join(pairs, "node").groupBy("family", "lo", "hi").applyInArrow(compare, ddl(LINKS))
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     docs = two_columns(docs, id_col, text_col)
     found = written(docs.mapInArrow(map_rows(_sketched_row, SKETCHED, "doc_id", "text"), ddl(SKETCHED)), "sketches")
-    # Rows that share an id but not a text: the first of their sets stands for each class, and the id joins the classes.
+    # Rows that share an id but not a text: their classes may have one node, whose sets are all compared, and the id joins the classes.
     classes = written(found.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
     member = classes.select("node", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
