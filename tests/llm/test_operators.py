@@ -299,6 +299,14 @@ def test_chat(spark):
     assert len(ones) > 3 and all(w.text.startswith("<|role|>system<|text|>be kind<|end|>") and (w.n_tokens <= 120 or len(chat.TURN.findall(w.text)) == w.n_repeated + 1) for w in ones) and any(w.n_repeated > 1 for w in ones)
 
 
+def test_chat_windows_fit_as_written(spark, library):
+    said = ["", "ok", "a \\ b <|end|> c", " ".join(WORDS[:9])]
+    df = spark.createDataFrame([(c, k, "user" if k % 2 else "assistant", said[k % 4] if c else "") for c in range(2) for k in range(200)], "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(df, P.path("byte_bpe_50k.json"), budget=120, history=40).collect()
+    assert {w.conv_id for w in windows if w.window > 3} == {0, 1}
+    assert all(len(library.encode(w.text, add_special_tokens=False).ids) <= 120 for w in windows)
+
+
 def test_counts(docs, library):
     out = rows_of(counts.count_tokens(docs, P.path("byte_bpe_50k.json"), limit=50, table_size=64))
     expected = [(i, len((t or "").encode()), n, n > 50) for i, t in ROWS for n in [len(library.encode(t or "", add_special_tokens=False).ids)]]

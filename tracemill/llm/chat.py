@@ -107,7 +107,8 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 1024, hi
     """The windows of every conversation in `turns` (conv_id, turn, role, text; other columns go).
 
     Null texts and roles count as empty ones, null conv_ids are one conversation, null turns come first, ties go by role and text, and
-    repeated rows are turns of their own. A turn over the budget is a window of its own, whole, next to the system turn. Turns are
+    repeated rows are turns of their own. A turn's tokens are those of what is written for it, marks, role and
+    escapes included. A turn over the budget is a window of its own, whole, next to the system turn. Turns are
     sorted by Spark, which spills, and read as a stream: a task holds one window of a conversation, however long that is.
     """
 
@@ -115,7 +116,7 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 1024, hi
         v = vocabulary(tokenizer_path)
         w = Windows(conv_id, budget, history)
         add = w.add
-        w.add = lambda role, text: add(role, text, len(v.whole(text)))
+        w.add = lambda role, text: add(role, text, len(v.whole(render([(role, text)], 0)[0])))
         return w
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
