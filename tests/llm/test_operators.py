@@ -315,8 +315,8 @@ def test_counts(docs, library):
     assert whole == sorted(((e[0], e[1]) for e in expected), key=repr)
 
 
-@pytest.mark.parametrize(("length", "spread"), [(400, 8192), (150, 8192), (400, 3)])
-def test_suffixes(docs, length, spread):
+@pytest.mark.parametrize(("length", "bucket"), [(400, suffix.BUCKET), (150, suffix.BUCKET), (400, 600), (200, 200)])
+def test_suffixes(docs, length, bucket):
     raws = [(t or "").encode() for _, t in ROWS]
     times = Counter(b[k : k + length] for b in raws for k in range(len(b) - length + 1))
     expected = {}
@@ -327,10 +327,10 @@ def test_suffixes(docs, length, spread):
                 gone[k : k + length] = True
         expected[b] = [x for x in np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).reshape(-1, 2).tolist()]
     named = suffix._named(suffix.two_columns(docs))
-    found = {(r.did, r.td): suffix.removed_runs([f.asDict() for f in r.found], length) for r in suffix.repeated_suffixes(suffix.two_columns(docs), length, spread).collect()}
+    found = {(r.did, r.td): suffix.removed_runs([f.asDict() for f in r.found], length) for r in suffix.repeated_suffixes(suffix.two_columns(docs), length, bucket).collect()}
     for r in named.collect():
         assert [list(x) for x in found.get((r.did, r.td), [])] == expected[bytes(r.raw)], r.doc_id
-    if length == 400 and spread > 3:
+    if length == 400 and bucket == suffix.BUCKET:
         out = suffix.without_repeats(docs).collect()
         assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in out) == sorted((len(b), sum(y - x for x, y in expected[b]), len(expected[b])) for b in raws)
         trimmed = suffix.trimmed_documents(docs).collect()
