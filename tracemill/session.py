@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,7 @@ SETTINGS = {
 }
 
 _shipped: set[str] = set()
+_folders: dict[int, str] = {}
 
 
 def build(master: str | None = None, **more: str) -> SparkSession:
@@ -38,10 +40,15 @@ def settle(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and workers are one process's threads and children, as with master local or local[8]."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, unless their Python path has it."""
+    """Send the package to the executors; a local master's workers are this machine's."""
     app = spark.sparkContext.applicationId
-    if app in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == str(ROOT):
+    if app in _shipped or one_machine(spark):
         return
     _shipped.add(app)
     target = Path(tempfile.mkdtemp()) / "tracemill.zip"
@@ -52,9 +59,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
+    """The folder named by spark.checkpoint.dir; where that is unset and the master is local, as in tests, a new local one."""
     sc = spark.sparkContext
     if not (found := sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tracemill_dir", None)):
+        if not one_machine(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = sc._tracemill_dir = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         sc.setCheckpointDir(found)
     return found if ":" in found.split("/")[0] else f"file://{os.path.abspath(found)}"
@@ -72,7 +81,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: later jobs start from its files, not from its lineage."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(found)] = path
+    weakref.finalize(found, _folders.pop, id(found), None)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written() tables that nothing will read again: all that was made of them is written itself."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop(id(t)))
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
