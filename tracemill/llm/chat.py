@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import ddl, groups_of, record_batch
-from tracemill.llm.tokens import vocabulary
+from tracemill.llm.tokens import token_counter
 
 # Fixed values of the template.
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
@@ -113,10 +113,9 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 1024, hi
     """
 
     def make(conv_id: int | None) -> Windows:
-        v = vocabulary(tokenizer_path)
-        w = Windows(conv_id, budget, history)
+        tokens, w = token_counter(tokenizer_path), Windows(conv_id, budget, history)
         add = w.add
-        w.add = lambda role, text: add(role, text, len(v.whole(render([(role, text)], 0)[0])))
+        w.add = lambda role, text: add(role, text, tokens(render([(role, text)], 0)[0]))
         return w
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
+
 def _ranges(*ends: tuple[int, int]) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ends)
 
@@ -20,7 +21,7 @@ def _ranges(*ends: tuple[int, int]) -> str:
 # Unicode's White_Space, as the libraries' patterns take it; runs of code points in the Latin, Greek and
 # Cyrillic blocks that are all letters; ASCII that is neither.
 SPACE = _ranges((0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-LETTER = _ranges((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2C1), (0x370, 0x373), (0x388, 0x38A), (0x38E, 0x3A1), (0x3A3, 0x481), (0x48A, 0x52F))
+LETTER = _ranges((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2C1), (0x370, 0x373), (0x388, 0x38A), (0x38E, 0x3A1), (0x3A3, 0x3F5), (0x3F7, 0x481), (0x48A, 0x52F))
 OTHER = _ranges((0x21, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 CHUNK = re.compile(rf" ?[{LETTER}]++(?=[{OTHER}{SPACE}]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
@@ -73,6 +74,17 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def token_counter(path: str) -> Callable[[str], int]:
+    """A function from a text to how many ids it has, chunks that came before being looked up."""
+    v = vocabulary(path)
+    whole = lambda text: len(v.whole(text))
+    if not v.chunked:
+        return whole
+    known = ChunkTable(whole).__getitem__
+    return lambda text: whole(text) if any(s in text for s in v.special) else sum(map(known, chunks(text)))
+
+
 @lru_cache(maxsize=2)
 def id_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
     """A function from a text to its ids as little-endian bytes, and their numpy type. Texts with the tokenizer's special strings go whole to the library."""
