@@ -171,7 +171,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, but those that a smaller id stands for."""
+    """The rows of `docs`, with all their columns, but those that a smaller id stands for.
+
+    Null and empty texts have no links and stay, as do rows without an id and all rows of the smallest id of a group; an empty table stays empty.
+    """
     gone = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")
 
