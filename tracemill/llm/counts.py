@@ -1,8 +1,8 @@
 """Token counts without moving text: a broadcast table of frequent pre-token lengths, worker caches for the rest (operator 9).
 
 The first tier holds the lengths of the corpus's most frequent chunks. Every task counts the chunks of its own rows in bounded
-memory and hands on one summary of fixed size; summaries are merged a few dozen at a time, so no pre-token is ever
-shuffled and what reaches the driver has a fixed bound. The second tier is each worker's own bounded cache in front of the
+memory and hands on one summary of fixed size; summaries are merged a few dozen at a time until one is left, so only summaries are
+shuffled, no text and no pre-token by itself, and what reaches the driver has a fixed bound. The second tier is each worker's own bounded cache in front of the
 tokenizer. Neither tier changes a count: they only save work.
 """
 
@@ -60,10 +60,10 @@ def frequent_chunks(docs: DataFrame, size: int) -> list[str]:
         return pa.Table.from_pylist([{"part": table["part"][0].as_py() // FAN, "summary": _most(_merged(parts), 2 * size)}], SUMMARY)
 
     left, summaries = docs.rdd.getNumPartitions(), docs.select("text").mapInArrow(count, ddl(SUMMARY))
-    while left > FAN:
+    while left > 1:
         summaries = summaries.groupBy((F.col("part") / FAN).cast("long").alias("by")).applyInArrow(merge, ddl(SUMMARY))
         left = -(-left // FAN)
-    best = _merged([r.summary for r in summaries.collect()])  # at most FAN summaries
+    best = _merged([r.summary for r in summaries.collect()])  # one summary, or none of an empty table
     return [k for k, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 
