@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import ddl, groups_of, map_rows, record_batch, two_columns
-from tracemill.session import new_folder
+from tracemill.session import new_folder, written
 
 WIDTH = 64
 HEADER = re.compile(rb"P5\n# (\d+) bytes\n(\d+) (\d+)\n255\n")
@@ -175,7 +175,10 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def described(store: DataFrame) -> DataFrame:
-    """A row for each distinct stored image, from the bytes read back: its digest is of what is there, so damaged bytes resolve nothing."""
+    """A row for each distinct stored image, from the bytes read back: its digest is of what is there, so damaged bytes resolve nothing.
+
+    Rows without media are left out, repeated ones count once; bytes that aren't an image of this store raise; an empty store gives no row.
+    """
 
     def row(media: bytes) -> tuple:
         payload, n = from_image(media)
@@ -185,10 +188,10 @@ def described(store: DataFrame) -> DataFrame:
 
 
 def resolved(parts: DataFrame, images: DataFrame) -> DataFrame:
-    """Parts with what their references resolve to, every part in place; unresolved ones have nulls.
+    """Parts with what their references resolve to, every part in place and repeated ones too; null and unresolved references have nulls.
 
-    Only digests and features meet in the join, one row for each distinct image on one side, so a payload that a third of all
-    documents refer to is a key that adaptive execution may split.
+    Only digests and features meet in the join, one row for each distinct image on one side. Where `images` is a written table, no
+    aggregate stands between its exchange and the join, so a payload that a third of all documents refer to is a key that adaptive execution splits.
     """
     digest = F.when(F.col("reference").startswith(REFERENCE), F.substring("reference", len(REFERENCE) + 1, 64))
     return parts.withColumn("digest", digest).join(images, "digest", "left")
@@ -219,5 +222,5 @@ def text_media(docs: DataFrame) -> DataFrame:
     A null text is stored as an empty one, 64 zero bytes; null and repeated ids keep a row each; equal texts have equal values.
     """
     stored = stored_texts(docs)
-    found = resolved(sequences(stored, "doc_id", "html").where("kind = 'media'"), described(stored))
+    found = resolved(sequences(stored, "doc_id", "html").where("kind = 'media'"), written(described(stored), "images"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
