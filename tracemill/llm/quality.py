@@ -99,13 +99,16 @@ def ablations(book: DataFrame, policy: str = "web", version: int = 2) -> DataFra
 
 
 def kept_documents(docs: DataFrame, policy: str = "web", version: int = 2, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that the policy keeps, with all their columns; repeated rows all stay."""
+    """The rows of `docs` that the policy keeps, with all their columns.
+
+    Null and empty texts have no words and go; null and repeated ids stay or go by their texts alone; an empty table stays empty.
+    """
     name = spare(docs, "measured")
     mask = POLICIES[policy, version] | BASE
     return docs.withColumn(name, _measured(docs[text_col])).where(_bits(f"{name}.").bitwiseAND(F.lit(mask)) == 0).drop(name)
 
 
-ORACLE = r"""
+_BOOK = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n >= 2),
@@ -114,8 +117,12 @@ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matc
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines) AS kept
-FROM b
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+k AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (n_symbols > n_words)::BIGINT + 8 * (word_chars < 2 * n_words)::BIGINT
+             + 16 * (word_chars > 20 * n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines)::BIGINT AS bits FROM b)
+"""
+ORACLE = _BOOK + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits = 0 AS kept, bits FROM k"
+ABLATIONS = _BOOK + f"""
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only
+FROM k, (VALUES {', '.join(f"('{r}', {b})" for r, b in BITS.items())}) v(rule, bit) GROUP BY ALL
 """

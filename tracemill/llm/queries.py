@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tracemill.llm.bpe import encode_texts
 from tracemill.llm.chat import format_windows, read_windows
 from tracemill.llm.counts import count_tokens
-from tracemill.llm.media import text_media
+from tracemill.llm.media import sequences, text_media
 from tracemill.llm.minhash import ORACLE as NEAR_SQL
 from tracemill.llm.minhash import near_duplicates
 from tracemill.llm.packing import pack
 from tracemill.llm.quality import ORACLE as QUALITY_SQL
-from tracemill.llm.quality import apply_policy, ledger
+from tracemill.llm.quality import ABLATIONS, ablations, apply_policy, ledger
 from tracemill.llm.records import record_stream
 from tracemill.llm.secrets import scan_texts
 from tracemill.llm.suffix import without_repeats
@@ -39,8 +39,22 @@ def op4_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(ledger(table(settle(spark), sf_dir, "documents")))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """The policy applied to the stored ledger; `bits` has one for each rule that fails."""
+    return apply_policy(_stored_ledger(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+
+
+def _stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(ledger(table(settle(spark), sf_dir, "documents")), "ledger")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and what it alone rejects, from the stored ledger's bits."""
+    return ablations(_stored_ledger(spark, sf_dir))
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its ordered text and media parts with captions."""
+    return sequences(table(settle(spark), sf_dir, "pages"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +82,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
+    numbered = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
+    return numbered | {"quality_ablations": quality_ablations, "page_sequences": page_sequences}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_ledger": QUALITY_SQL, "op6_near_duplicates": NEAR_SQL}
+    return {"op5_quality_ledger": QUALITY_SQL, "op6_near_duplicates": NEAR_SQL, "quality_ablations": ABLATIONS}

@@ -172,7 +172,10 @@ def _redacted(text: Column) -> Column:
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """Every row of `docs` and all its columns, secrets replaced in the texts, and `length_col`, where there is one, as the new length."""
+    """Every row of `docs` and all its columns, secrets replaced in the texts, and `length_col`, where there is one, as the new length.
+
+    A null text stays null and keeps its length; an empty one stays empty; repeated rows and rows without an id are treated alike, each by its text.
+    """
     name = spare(docs, "redacted")
     found = docs.withColumn(name, _redacted(docs[text_col]))
     kept = [F.col(name).alias(c) if c == text_col else F.coalesce(F.length(name).cast("long"), found[c]).alias(c) if c == length_col else found[c] for c in docs.columns]
