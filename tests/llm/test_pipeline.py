@@ -33,15 +33,16 @@ def test_stages(spark, tmp_path):
     state = stages["quality"](spark, state, str(tmp_path))
     assert state.columns == docs.columns and {r.doc_id: r.text for r in state.collect()} == plain
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in plain.items() for w in [t.lower().split()]}
-    plain = {i: t for i, t in plain.items() if not any(j < i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in sets)}
+    plain = {i: t for i, t in plain.items() if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)}
     state = stages["near_duplicates"](spark, state, str(tmp_path))
     assert state.columns == docs.columns and {r.doc_id: r.text for r in state.collect()} == plain and 23 not in plain
-    times = Counter(t[k : k + 400] for t in plain.values() for k in range(len(t) - 399))
+    width = corpus_pipeline.PASSAGE
+    times = Counter(t[k : k + width] for t in plain.values() for k in range(len(t) - width + 1))
     for i, t in plain.items():
         gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 399):
-            if times[t[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        for k in range(len(t) - width + 1):
+            if times[t[k : k + width]] > 1:
+                gone[k : k + width] = True
         plain[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
     state = stages["repeated_passages"](spark, state, str(tmp_path))
     assert {r.doc_id: (r.text, r.n_chars) for r in state.collect()} == {i: (t, len(t)) for i, t in plain.items()}

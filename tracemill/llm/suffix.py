@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import ddl, record_batch, spare, two_columns
 from tracemill.llm.minhash import M1, M2, M3, mix
-from tracemill.session import written
+from tracemill.session import discard, written
 
 LENGTH, COVER = 400, 64
 #: Distances to the anchor modulo COVER that are sampled: with R = 8, all below R and all multiples of R, so every difference is one of two members.
@@ -334,6 +334,7 @@ def repeated_suffixes(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKE
     times = F.sum(F.lit(1) + F.coalesce(F.expr("octet_length(more) div 8"), F.lit(0)))
     reached = every.groupBy("key").agg(times.alias("c")).where("c > 1").select("key")
     some = written(every.join(reached, "key", "left_semi"), "shared")
+    discard(every)
     distinct = written(some.groupBy(*CONTEXT).agg(times.alias("times"), F.min(F.struct("did", "td", "place")).alias("one")), "distinct")
     n = F.shiftright(F.col("one.place"), FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))
     mixed = distinct.groupBy("key").agg(F.count("*").alias("m"), F.sum(n + (length - 1)).alias("size")).where("m > 1")
@@ -347,6 +348,7 @@ def repeated_suffixes(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKE
     whole = distinct.where("times > 1").select(*CONTEXT, F.lit(None).cast("array<long>").alias("ranges"))
     partly = ranges.join(distinct.where("times = 1").select(*CONTEXT), CONTEXT, "left_semi")
     known = written(whole.unionByName(partly), "repeated")
+    discard(distinct, pieces)
     return some.join(known, CONTEXT).groupBy("did", "td").agg(F.collect_list(F.struct("place", "more", "ranges")).alias("found"))
 
 
