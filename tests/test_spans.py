@@ -38,6 +38,36 @@ def test_delivery_errors(spark):
     assert [r.test for r in found][5] is True
 
 
+def test_malformed_types(spark):
+    """Values of a wrong JSON type, which reading them as strings would let through."""
+    span = lambda **more: delivery([], **more)
+    scope = lambda x: json.dumps({"resourceSpans": [x]})
+    bad = [span(traceId=5), span(spanId=""), span(parentSpanId=1), span(kind="x"), span(startTimeUnixNano=3), span(events={}), span(links=3), span(status="bad"), span(status=None), delivery([attribute(7, stringValue="x")]), delivery([{"key": "k", "value": "v"}]), delivery([{"key": "k"}]), delivery([]).replace("\"attributes\": [], ", "").replace("\"attributes\": []", "\"attributes\": {}"), scope({}), scope({"scopeSpans": [{}]}), scope({"resource": [], "scopeSpans": []}), scope({"resource": {"attributes": 3}, "scopeSpans": []}), scope(3), '{"resourceSpans":[]} trailing', '{"resourceSpans":{}}', "", "null"]
+    good = [span(kind=2, status={}, events=[], links=[], parentSpanId="", endTimeUnixNano="1"), scope({"scopeSpans": []}), '{"resourceSpans":[]}']
+    found = parsed(spark, *bad, *good).orderBy("delivery_id").collect()
+    assert [(b, r.error) for b, r in zip(bad, found)] == [(b, "malformed") for b in bad]
+    assert [r.error for r in found[len(bad) :]] == [None] * len(good) and [r.test for r in found] == [False] * (len(found) - 1) + [True]
+    raw = spark.createDataFrame([(1, 1, span().encode()), (2, 2, span().encode()[:-1] + b"\xff"), (3, 3, span(name="x" * (901 << 10)).encode())], "delivery_id long, received_at long, body binary")
+    assert [r.error for r in otlp.deliveries(raw).orderBy("delivery_id").collect()] == [None, "malformed", "bound"]
+
+
+def test_response_status(spark):
+    rows = [(False, "application/json", None, False, 1), (True, "text/plain", None, False, 1), (True, "application/json; charset=utf-8", "too_large", False, 0), (True, "Application/JSON", "bound", False, 0), (True, "application/json", None, True, 0), (True, "application/json", None, False, 0), (True, "application/json", None, False, 2)]
+    df = spark.createDataFrame(rows, "authorized boolean, content_type string, error string, test boolean, admitted long")
+    assert [r[0] for r in df.select(otlp.response_status(*map(F.col, df.columns))).collect()] == [401, 415, 413, 400, 204, 204, 202]
+
+
+def test_stored_rows(spark):
+    a = [attribute("user.id", stringValue="u"), attribute("trace.metadata.run_id", stringValue="r"), attribute("trace.metadata.z", stringValue="1"), attribute("span.metadata.z", stringValue="1"), attribute("trace.metadata.environment", stringValue="dev"), attribute("span.metadata.environment", stringValue="dev")]
+    rows = otlp.spans(parsed(spark, delivery(a)))
+    assert [x.key for x in rows.first().attributes] == ["trace.metadata.z"]
+    original = F.from_json(F.lit(json.dumps([{"key": x["key"], "value": x["value"]} for x in a])), otlp.ATTRIBUTES)
+    assert rows.select(otlp.reconstructs(original)).first()[0] is True
+    assert rows.withColumn("userId", F.lit("v")).select(otlp.reconstructs(original)).first()[0] is False
+    stored = rows.select(otlp.stored_correlations(original).alias("c"), otlp.stored_correlations(F.concat(original, F.array(F.struct(F.lit("x").alias("key"), F.lit("{").alias("value"))))).alias("d")).first()
+    assert (stored.c.runId, stored.c.jobId, stored.d.runId) == ("r", None, None)
+
+
 def test_archive(spark):
     rows = otlp.spans(parsed(spark, delivery([attribute("trace.input", stringValue="text"), attribute("k", intValue=1)], traceId="a b/c")))
     slim, objects = otlp.archived(rows)

@@ -34,9 +34,9 @@ def delivery_rows(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT event_id AS delivery_id, 't' || user_id AS "traceId", 's' || event_id AS "spanId", user_id::VARCHAR AS "userId", event_type AS "requestModel", (props->>'k')::BIGINT AS "inputTokens",
-  CAST(NULL AS BIGINT) AS "outputTokens", 0.25::DOUBLE AS "totalCost", 'dev' AS environment, 'gen_ai.usage.output_tokens,span.metadata.environment,trace.metadata.x' AS residual FROM {E_SQL}""")
+  CAST(NULL AS BIGINT) AS "outputTokens", 0.25::DOUBLE AS "totalCost", 'dev' AS environment, 'gen_ai.usage.output_tokens,trace.metadata.x' AS residual FROM {E_SQL}""")
 def otlp_parse(t: Tables) -> DataFrame:
-    """Projected columns; a non-canonical integer stays an attribute, and a span.metadata copy goes where an unclaimed equal attribute is left."""
+    """Projected columns; a non-canonical integer stays an attribute, and a span.metadata copy of an equal trace.metadata attribute goes, projected or not."""
     s = otlp.spans(otlp.deliveries(delivery_rows(t)))
     return s.select("delivery_id", "traceId", "spanId", "userId", "requestModel", "inputTokens", "outputTokens", "totalCost", "environment", F.array_join(F.transform("attributes", lambda a: a["key"]), ",").alias("residual"))
 
