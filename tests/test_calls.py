@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -178,12 +179,16 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, r in enumerate(late):
         (tmp_path / "in" / f"{k:03}.txt").write_text(r + "\n")
+        os.utime(tmp_path / "in" / f"{k:03}.txt", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken in this order
     source = spark.readStream.schema("value string").option("maxFilesPerTrigger", 4).text(str(tmp_path / "in")).withColumnRenamed("value", "raw")
     q = call_stream(segments.validated(source)).writeStream.format("memory").queryName("calls").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     rows = spark.table("calls").orderBy("revision").collect()
     batch = segments.calls(segments.admitted(segments.validated(spark.createDataFrame([(r,) for r in raws], "raw string")))).first()
-    assert rows[-1].summary == batch.summary and rows[-1].state == "succeeded" and rows[0].state is None and rows[-1].conflicts == 0
+    assert rows[-1].summary == batch.summary and rows[-1].state == "succeeded" and rows[-1].conflicts == 0
+    waiting = segments.calls(segments.admitted(segments.validated(spark.createDataFrame([(r,) for r in late[:4]], "raw string")))).first()
+    shown = [c for c in waiting.asDict() if c != "persisted_through"]
+    assert rows[0].state == "in_progress" and rows[0].destination == "d" and [rows[0][c] for c in shown] == [waiting[c] for c in shown]
 
 
 def test_shuffled_segments(spark):

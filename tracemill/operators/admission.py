@@ -26,9 +26,15 @@ def variants(df: DataFrame, keys: list[str], digest: str, order: str, inline: in
     return firsts.join(arrays, keys, "left").select(*keys, F.col(f"first.{digest}").alias(digest), "variant_count", F.coalesce("inline", F.array().cast(arrays.schema["inline"].dataType)).alias("variants"))
 
 
-def backfill(rows: DataFrame, recorded: DataFrame, keys: list[str], array: str, digest: str) -> DataFrame:
-    """Entries of the rows' arrays that `recorded` (keys, digest) lacks; running it again after appending them gives none."""
-    return rows.select(*keys, F.explode(array).alias("v")).select(*keys, f"v.{digest}", "v.arrived").join(recorded, [*keys, digest], "left_anti")
+def backfill(rows: DataFrame, recorded: DataFrame, keys: list[str], array: str, digest: str, match: list[str] | None = None) -> DataFrame:
+    """Entries of the rows' arrays that `recorded` (keys, or those of `match`, and digest) lacks; running it again after appending them gives none."""
+    return rows.select(*keys, F.explode(array).alias("v")).select(*keys, f"v.{digest}", "v.arrived").join(recorded, [*(match or keys), digest], "left_anti")
+
+
+def flagged(rows: DataFrame, others: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """`rows` with whether `others` has their key, in one join."""
+    there = others.select(*keys).distinct().withColumn(flag, F.lit(True))
+    return rows.join(there, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def admit(incoming: DataFrame, receipts: DataFrame, keys: list[str], digest: str) -> DataFrame:

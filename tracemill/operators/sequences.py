@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.folds import streamed
+
 
 def watermarks(segments: DataFrame, key: str, first: str, through: str, start: int = 0) -> DataFrame:
     """For each key how far its segments reach without a gap from `start`, and how far at all."""
@@ -51,12 +53,32 @@ def peak(rows: DataFrame, key: str, order: list[str], change: Column) -> DataFra
     return rows.withColumn("running", F.sum(change).over(w)).groupBy(key).agg(F.max("running").alias("peak"), F.sum(change).alias("final"))
 
 
-def growth(rows: DataFrame, key: str, micros: str, allocated: str, tie: str, ceiling: float) -> DataFrame:
-    """Growth a second between samples at least a second apart, and the seconds left to the ceiling where it grows."""
-    w = Window.partitionBy(key).orderBy(micros, tie)
-    seconds = (F.col(micros) - F.lag(micros).over(w)) / F.lit(1e6)
-    rate = F.when(seconds >= 1, (F.col(allocated) - F.lag(allocated).over(w)) / seconds)
-    return rows.withColumn("rate", rate).select(key, tie, "rate", F.when(F.col("rate") > 0, F.greatest(F.lit(ceiling) - F.col(allocated), F.lit(0.0)) / F.col("rate")).alias("seconds_left"))
+def growth(rows: DataFrame, key: str, micros: str, allocated: str, tie: str, ceiling: float, seconds: float = 1.0) -> DataFrame:
+    """For each sample the growth a second since the one it is measured from, and the seconds left to the ceiling; null where it doesn't grow.
+
+    A sample is measured from the last one that was kept; the first is kept, and each that comes `seconds` or more after that.
+    """
+
+    def step(state: dict, row: dict) -> list[dict]:
+        kept, rate = state.get("kept"), None
+        elapsed = (row[micros] - kept[0]) / 1e6 if kept else None
+        if kept and elapsed >= seconds and row[allocated] is not None and kept[1] is not None and row[allocated] > kept[1]:
+            rate = (row[allocated] - kept[1]) / elapsed
+        if not kept or elapsed >= seconds:
+            state["kept"] = (row[micros], row[allocated])
+        return [{key: row[key], tie: row[tie], "rate": rate, "seconds_left": None if rate is None else max(ceiling - row[allocated], 0.0) / rate}]
+
+    kinds = dict(rows.dtypes)
+    return streamed(rows.select(key, micros, allocated, tie), key, [micros, tie], step, f"{key} {kinds[key]}, {tie} {kinds[tie]}, rate double, seconds_left double", dict)
+
+
+def rank_median_p99(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The values at index n / 2 and (n - 1) * 99 / 100, whole divisions, of each key's sorted values."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).count()
+    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("upto", F.sum("count").over(w)).join(counted.groupBy(key).agg(F.sum("count").alias("n")), key)
+    at = lambda index: F.min(F.when(F.col("upto") > F.expr(index), F.col(value)))
+    return placed.groupBy(key).agg(F.max("n").alias("n"), at("n div 2").alias("median"), at("(n - 1) * 99 div 100").alias("p99"))
 
 
 def sessions(rows: DataFrame, key: str, micros: str, tie: str, idle_seconds: int) -> DataFrame:

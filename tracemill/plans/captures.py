@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.core.content import Externalizer, decode_input, references
 from tracemill.core.frames import Frames
-from tracemill.core.segments import write_segment
+from tracemill.core.segments import read_segment, write_segment
 from tracemill.core.values import dump, parse
 from tracemill.operators import folds
 from tracemill.plans.reads import E_SQL, events
@@ -82,10 +82,19 @@ def segment_calls(t: Tables) -> DataFrame:
     return segments.calls(kept).select(*SHOWN)
 
 
-@query("SELECT outcome, count(*) > 0 AS some FROM (VALUES ('duplicate'), ('new')) v(outcome) GROUP BY outcome")
+@query("SELECT sha256('[\"d\",\"i\",\"b\",\"c' || conv_id || '\"]') AS call_id, outcome, n FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('new', 1), ('duplicate', 1), ('digest_conflict', 1)) v(outcome, n)")
 def segment_outcomes(t: Tables) -> DataFrame:
-    found = segments.validated(conversation_segments(t))
-    return segments.admitted(found.unionAll(found)).groupBy("outcome").agg((F.count("*") > 0).alias("some"))
+    """Of every call the first segment has a receipt and comes again, once as it was and once with other bytes; the second is new."""
+
+    def changed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"raw": [write_segment([o | {"offsetNs": 7} for o in read_segment(r)[1]]) for r in b["raw"]]})
+
+    every = conversation_segments(t)
+    first = F.get_json_object("raw", "$.firstSequence").cast("long")
+    firsts, seconds = every.where(first == 1), every.where(first == 4)
+    again = segments.validated(firsts.unionAll(firsts.mapInPandas(changed, "raw string")).unionAll(seconds))
+    return segments.admitted(again, segments.validated(firsts)).groupBy("call_id", "outcome").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, count(*) + 5 AS n_frames, sum(length(text)) AS n_chars FROM (SELECT conv_id, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id")
@@ -129,13 +138,21 @@ def health_coalesce(t: Tables) -> DataFrame:
     return folds.coalesced_health(posts.select("user_id", "received_at", "losses", "boot", "event_id"), "user_id", "received_at", "losses", "boot", "event_id", 6 * 3600)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, strlen(coalesce(text, '')) AS size, turn * 400000 AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+s AS (SELECT conv_id, i, 0 AS block, 1 AS pieces, size AS bytes, t AS since FROM o WHERE i = 1
+  UNION ALL SELECT o.conv_id, o.i, s.block + f::INT, CASE WHEN f THEN 1 ELSE s.pieces + 1 END, CASE WHEN f THEN o.size ELSE s.bytes + o.size END, CASE WHEN f THEN o.t ELSE s.since END
+  FROM s JOIN o ON o.conv_id = s.conv_id AND o.i = s.i + 1, LATERAL (SELECT s.bytes + o.size > 2048 OR s.pieces >= 1024 OR o.t - s.since >= 900000 AS f))
+SELECT conv_id AS key, block, max(pieces) AS pieces, max(bytes) AS bytes FROM s GROUP BY conv_id, block""")
 def block_coalesce(t: Tables) -> DataFrame:
-    turns = t.conversations.select("conv_id", "turn", F.octet_length("text").cast("long").alias("size"), (F.col("turn") * 400_000).alias("micros"))
-    return folds.coalesced_blocks(turns, "conv_id", ["turn"], "size", "micros", most_bytes=2048)
+    turns = t.conversations.select("conv_id", "turn", "role", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), (F.col("turn") * 400_000).alias("micros"))
+    return folds.coalesced_blocks(turns, "conv_id", ["turn", "role", "text"], "size", "micros", most_bytes=2048)
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_id, event_id % 900 + 100 AS size, row_number() OVER (PARTITION BY user_id ORDER BY received_at, event_id) AS i FROM {E_SQL}),
+s AS (SELECT user_id, event_id, i, size AS held, 0::BIGINT AS lost, false AS dropped FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.i, h + CASE WHEN h + o.size > 4096 THEN 0 ELSE o.size END, s.lost + CASE WHEN h + o.size > 4096 THEN o.size ELSE 0 END, h + o.size > 4096
+  FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1, LATERAL (SELECT greatest(0, s.held - 400) AS h))
+SELECT user_id AS key, event_id AS id, dropped, lost AS lost_bytes FROM s""")
 def queue_losses(t: Tables) -> DataFrame:
     sized = events(t).select("user_id", "received_at", "event_id", (F.col("event_id") % 900 + 100).alias("size"))
     return folds.admission_losses(sized, "user_id", ["received_at", "event_id"], "size", 4096, 400)

@@ -30,18 +30,14 @@ def variant_counts(t: Tables) -> DataFrame:
     return _variants(t).groupBy("event_type").agg(F.sum("variant_count").alias("n_variants"), F.max("variant_count").alias("most"))
 
 
-@query(f"WITH {DIGESTS} SELECT user_id, event_type, digest, arrived FROM f WHERE k BETWEEN 2 AND 9 AND arrived % 3 <> 0")
+@query(f"WITH {DIGESTS} SELECT user_id, event_type, digest, arrived FROM f WHERE k BETWEEN 2 AND 9 AND (user_id, digest) NOT IN (SELECT (user_id, props) FROM events WHERE event_type = 'error')")
 def variant_backfill(t: Tables) -> DataFrame:
-    """Variants whose arrival divides by 3 are recorded already."""
+    """Variants that the user's errors have too are recorded already."""
     rows = _variants(t)
-    recorded = rows.select(*KEYS, F.explode("variants").alias("v")).where("v.arrived % 3 = 0").select(*KEYS, "v.digest")
-    return admission.backfill(rows.drop("digest"), recorded, KEYS, "variants", "digest")
+    errors = t.events.where("event_type = 'error'").select("user_id", F.col("props").alias("digest")).distinct()
+    return admission.backfill(rows.drop("digest"), errors, ["user_id", "event_type"], "variants", "digest", match=["user_id"])
 
 
-@query("SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def receipts_anti(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 1 THEN 'duplicate' ELSE 'conflict' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def receipts_conflict(t: Tables) -> DataFrame:
@@ -109,9 +105,8 @@ def logical_union_view(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS moved FROM orders WHERE o_orderstatus = 'F'")
 def receipt_move_split(t: Tables) -> DataFrame:
     """Which rows an acknowledgement moves, and which stay."""
-    pending, acknowledged = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    moved = pending.join(acknowledged, "o_orderkey", "left_semi").withColumn("moved", F.lit(True))
-    return moved.unionByName(pending.join(acknowledged, "o_orderkey", "left_anti").withColumn("moved", F.lit(False)))
+    acknowledged = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return admission.flagged(t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), acknowledged, ["o_orderkey"], "moved")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, count(*) AS actual FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS counted FROM orders)
@@ -139,10 +134,19 @@ def peak_running(t: Tables) -> DataFrame:
     return sequences.peak(events(t), "user_id", ["received_at", "event_id"], F.when(F.col("event_type") == "purchase", -1).otherwise(1))
 
 
-@query(f"""SELECT user_id, event_id, rate, CASE WHEN rate > 0 THEN greatest(1000 - value, 0) / rate END AS seconds_left FROM (SELECT user_id, event_id, value, CASE WHEN s >= 1 THEN (value - v) / s END AS rate FROM
-  (SELECT *, (received_at - lag(received_at) OVER w) / 1e6 AS s, lag(value) OVER w AS v FROM {E_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY received_at, event_id)))""")
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY received_at, event_id) AS k FROM {E_SQL}),
+s AS (SELECT user_id, event_id, k, received_at AS kept_at, value AS kept, value, CAST(NULL AS DOUBLE) AS rate FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN (o.received_at - s.kept_at) / 1e6 >= 3600 THEN o.received_at ELSE s.kept_at END, CASE WHEN (o.received_at - s.kept_at) / 1e6 >= 3600 THEN o.value ELSE s.kept END, o.value,
+    CASE WHEN (o.received_at - s.kept_at) / 1e6 >= 3600 AND o.value > s.kept THEN (o.value - s.kept) / ((o.received_at - s.kept_at) / 1e6) END FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)
+SELECT user_id, event_id, rate, greatest(1000 - value, 0) / rate AS seconds_left FROM s""")
 def growth_forecast(t: Tables) -> DataFrame:
-    return sequences.growth(events(t), "user_id", "received_at", "value", "event_id", 1000.0)
+    return sequences.growth(events(t), "user_id", "received_at", "value", "event_id", 1000.0, seconds=3600)
+
+
+@query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(n) AS n, min(CASE WHEN i = n // 2 THEN value END) AS median, min(CASE WHEN i = (n - 1) * 99 // 100 THEN value END) AS p99 FROM s GROUP BY event_type""")
+def median_p99(t: Tables) -> DataFrame:
+    return sequences.rank_median_p99(t.events, "event_type", "value")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k > 8")
@@ -184,27 +188,18 @@ def distinct_scopes(t: Tables) -> DataFrame:
     return t.lineitem.select("l_suppkey", "l_returnflag").distinct()
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
-def semi_trim(t: Tables) -> DataFrame:
-    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey", "l_linenumber").join(urgent, "l_orderkey", "left_semi")
-
-
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
-def missing_refs(t: Tables) -> DataFrame:
-    used = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return t.part.select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
-@query("SELECT count(*) AS pending_events, coalesce(sum(strlen(text)), 0) AS pending_bytes, (SELECT count(*) FROM labels) AS receipts FROM documents WHERE source <> 'src0'")
+@query("SELECT count(*) AS pending_events, coalesce(sum(strlen(text)), 0) AS pending_bytes, (SELECT count(*) FROM labels) AS receipts FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def outbox_counts(t: Tables) -> DataFrame:
-    pending = t.documents.where("source <> 'src0'").agg(F.count("*").alias("pending_events"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("pending_bytes"))
+    """Documents without a label are pending; labels are receipts."""
+    pending = t.documents.join(t.labels, "doc_id", "left_anti").agg(F.count("*").alias("pending_events"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("pending_bytes"))
     return pending.join(t.labels.agg(F.count("*").alias("receipts")))
 
 
-@query("SELECT lang, sum(strlen(text)) AS payload_bytes FROM documents WHERE source <> 'src0' GROUP BY lang")
+@query("SELECT lang, sum(strlen(text)) AS payload_bytes FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang")
 def destination_counts(t: Tables) -> DataFrame:
-    return t.documents.where("source <> 'src0'").groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("payload_bytes"))
+    return t.documents.join(t.labels, "doc_id", "left_anti").groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("payload_bytes"))
 
 
 @query(f"""WITH b AS (SELECT user_id % 10 AS source, max(user_id) AS boot FROM events GROUP BY 1)
@@ -222,16 +217,13 @@ def capture_coverage(t: Tables) -> DataFrame:
     return coverage(t.orders.select(F.col("o_custkey").alias("source")).distinct(), "source")
 
 
-@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS batch_id, CASE WHEN l_returnflag = 'N' THEN 'pending' ELSE 'delivering' END AS state, l_linenumber::BIGINT AS attempts, l_linenumber::BIGINT AS "first", l_linenumber::BIGINT + l_quantity::BIGINT % 3 AS through, [0, 200, 400, 413, 429, 503][l_partkey % 6 + 1] AS status FROM lineitem),
+@query("""WITH b AS (SELECT o_orderkey AS batch_id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'delivering' END AS state, o_custkey % 9 AS attempts, 1 AS "first", 1 + o_orderkey % 3 AS through, [0, 200, 400, 413, 429, 503][o_custkey % 6 + 1] AS status FROM orders),
 c AS (SELECT *, CASE WHEN state = 'delivering' THEN CASE WHEN status = 200 THEN 'delivered' WHEN status IN (0, 429, 503) THEN 'retry' WHEN status = 413 AND through > "first" THEN 'split' ELSE 'quarantine' END END AS class FROM b)
-SELECT state, sum(n) AS n, sum(wait_s) AS wait_s FROM (SELECT CASE class WHEN 'delivered' THEN 'delivered' WHEN 'retry' THEN 'pending' WHEN 'split' THEN 'superseded' WHEN 'quarantine' THEN 'quarantined' ELSE state END AS state, 1 AS n, CASE WHEN class = 'retry' THEN least(300.0, pow(2.0, least(attempts + 1, 8))) END AS wait_s FROM c) GROUP BY state""")
+SELECT batch_id, CASE class WHEN 'delivered' THEN 'delivered' WHEN 'retry' THEN 'pending' WHEN 'split' THEN 'superseded' WHEN 'quarantine' THEN 'quarantined' ELSE state END AS state, attempts + (class IS NOT DISTINCT FROM 'retry')::BIGINT AS attempts, CASE WHEN class = 'retry' THEN least(300.0, pow(2.0, least(attempts + 1, 8))) END AS wait_s FROM c""")
 def batch_transitions(t: Tables) -> DataFrame:
-    status = F.element_at(F.array(*map(F.lit, (0, 200, 400, 413, 429, 503))), (F.col("l_partkey") % 6 + 1).cast("int"))
-    line = F.col("l_linenumber").cast("long")
-    rows = t.lineitem.select(F.monotonically_increasing_id().alias("batch_id"), F.when(F.col("l_returnflag") == "N", "pending").otherwise("delivering").alias("state"), line.alias("attempts"), line.alias("first"), (line + F.col("l_quantity").cast("long") % 3).alias("through"), status.alias("status"))
-    kept = rows.drop("status")
-    moved = delivery.transitions(kept, rows.select("batch_id", "status"))
-    return moved.groupBy("state").agg(F.count("*").alias("n"), F.sum("wait_s").alias("wait_s"))
+    status = F.element_at(F.array(*map(F.lit, (0, 200, 400, 413, 429, 503))), (F.col("o_custkey") % 6 + 1).cast("int"))
+    kept = t.orders.select(F.col("o_orderkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("delivering").alias("state"), (F.col("o_custkey") % 9).alias("attempts"), F.lit(1).cast("long").alias("first"), (1 + F.col("o_orderkey") % 3).alias("through"))
+    return delivery.transitions(kept, t.orders.select(F.col("o_orderkey").alias("batch_id"), status.alias("status"))).select("batch_id", "state", "attempts", "wait_s")
 
 
 @query("""SELECT o_orderkey, CASE WHEN n = 0 THEN 'credential_missing' WHEN n = 2 THEN 'credential_ambiguous' WHEN c_nationkey IS NULL THEN 'credential_unbound' WHEN o_orderkey % 25 <> c_nationkey AND o_orderkey % 2 = 0 THEN 'destination_mismatch' END AS scope_error

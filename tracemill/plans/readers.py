@@ -10,6 +10,7 @@ from tracemill.operators.paging import clip, clipped_fields, page_result
 
 NEWEST = [("receivedAt", False), ("creationTime", False)]
 OLDEST = [("creationTime", True)]
+CALL_CORRELATIONS = ("requestId", "runId", "jobId", "rootExecutionId", "opencodeSessionId")
 CORRELATIONS = ("requestId", "runId", "jobId")
 SUMMARY = ("traceId", "spanId", "name", "requestId", "runId", "jobId", "requestModel", "responseModel", "providerName", "finishReason", "environment", "feature")
 FACTS = ("inputTokens", "outputTokens", "totalTokens", "reasoningTokens", "cachedInputTokens", "totalCost", "inputUtf8Bytes", "outputUtf8Bytes", "attributeCount", "resourceAttributeCount", "cacheCreationInputTokens")
@@ -51,8 +52,14 @@ class CallReader:
     def __init__(self, calls: DataFrame, segments: DataFrame | None = None) -> None:
         self.calls, self.segments = calls, segments
 
-    def page_recent_summaries(self, destination: str, limit: int = 3, cursor: tuple | None = None) -> dict:
-        return page_result(self.calls.where(F.col("destination") == destination), [("received_at", False), ("creation_time", False)], limit, 3, cursor, clamp=True, budget=31 * 1024 - 256)
+    def page_recent_summaries(self, destination: str, limit: int = 3, cursor: tuple | None = None, correlation: dict[str, str] | None = None) -> dict:
+        """Newest first of a destination, or of one of its correlation ids."""
+        rows = self.calls.where(F.col("destination") == destination)
+        for name, value in (correlation or {}).items():
+            if len(correlation) != 1 or name not in CALL_CORRELATIONS:
+                raise ValueError(f"one of {', '.join(CALL_CORRELATIONS)}")
+            rows = rows.where(F.col(name) == value)
+        return page_result(rows, [("received_at", False), ("creation_time", False)], limit, 3, cursor, clamp=True, budget=31 * 1024 - 256)
 
     def page_calls_since(self, destination: str, cursor: tuple | None = None, before: int | None = None, limit: int = 50) -> dict:
         rows = self.calls.where(F.col("destination") == destination)
@@ -62,6 +69,13 @@ class CallReader:
     def page_event_segments(self, call_id: str, after: int = 0, limit: int = 7) -> dict:
         return page_result(self.segments.where(F.col("call_id") == call_id), [("through_sequence", True)], limit, 200, (after,), clamp=True, budget=1 << 30)
 
+    def get_processing_state(self, call_id: str) -> DataFrame:
+        """How far a call is persisted and projected, and what stopped it."""
+        return self.get_call(call_id).select("call_id", "persisted_through", "projected_through", "terminal_sequence", "failure")
+
+    def get_boot_health(self, boots: DataFrame, destination: str, instance: str, boot: str) -> DataFrame:
+        return boots.where((F.col("destination") == destination) & (F.col("instance") == instance) & (F.col("boot") == boot))
+
     def get_call(self, call_id: str) -> DataFrame:
         return self.calls.where(F.col("call_id") == call_id)
 

@@ -109,17 +109,6 @@ def block_expand(t: Tables) -> DataFrame:
     return again.select("page_id", F.size("pieces").cast("long").alias("n"), F.sha2(F.array_join(F.transform("pieces", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ","), 256).alias("sha256"))
 
 
-@query("SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS sha256, sum(length(text)) AS n_chars FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
-def ordered_text_assembly(t: Tables) -> DataFrame:
-    said = t.conversations.where("role = 'assistant'")
-    return said.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), ""), 256).alias("sha256"), F.sum(F.length("text")).alias("n_chars"))
-
-
-@query("""SELECT conv_id, sum((role = 'system')::BIGINT) AS n_system, sum((role = 'user')::BIGINT) AS n_user, sum((role = 'assistant')::BIGINT) AS n_assistant,
-  sum((role NOT IN ('system', 'user', 'assistant', 'tool'))::BIGINT) AS n_unsupported FROM conversations GROUP BY conv_id""")
-def role_decode(t: Tables) -> DataFrame:
-    roles = {f"n_{r}": F.col("role") == r for r in ("system", "user", "assistant")} | {"n_unsupported": ~F.col("role").isin("system", "user", "assistant", "tool")}
-    return t.conversations.groupBy("conv_id").agg(*(F.count_if(c).alias(n) for n, c in roles.items()))
 
 
 @query("SELECT conv_id, sha256(string_agg(sha256(role || chr(10) || text), '' ORDER BY turn)) AS fingerprint FROM conversations GROUP BY conv_id")
@@ -128,21 +117,7 @@ def ordered_fingerprint(t: Tables) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
 
 
-@query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0")
-def payload_join(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id").join(t.labels.where("toxic = 0").select("doc_id", "quality"), "doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)")
-def ref_membership(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id").join(t.labels.where("quality = 1"), "doc_id", "left_semi")
-
-
-@query("SELECT page_id, url, replace(replace(replace(url, '%', '%25'), '/', '%2F'), ':', '%3A') AS encoded FROM pages WHERE regexp_full_match(url, '[A-Za-z0-9/:._-]*')")
-def path_encode(t: Tables) -> DataFrame:
-    from tracemill.functions.rules import percent_encoded
 
-    return t.pages.where(F.col("url").rlike(r"^[A-Za-z0-9/:._-]*$")).select("page_id", "url", percent_encoded(F.col("url")).alias("encoded"))
 
 
 @query("SELECT page_id, url, replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS encoded FROM pages")

@@ -67,6 +67,11 @@ def admitted(segments: DataFrame, receipts: DataFrame | None = None) -> DataFram
     return seen.withColumn("outcome", outcome).drop("place", "first_digest", "clashes", "reach")
 
 
+def waiting_call(destination: str | None) -> dict:
+    """A call of which no first segment has arrived."""
+    return {"destinationId": destination, "state": "in_progress", "through": 0}
+
+
 def call_row(fold: CallFold, key: str, persisted: int, failure: str | None) -> dict:
     call = fold.call or {}
     return {"call_id": key} | {c: call.get(f) for c, f in FIELDS.items()} | {"persisted_through": persisted, "failure": failure, "summary": dump(call)}
@@ -102,7 +107,7 @@ def calls(segments: DataFrame) -> DataFrame:
         fold = CallFold()
         persisted, failure = fold_segments(fold, list(zip(rows["first_sequence"], rows["through_sequence"], rows["observations"], strict=True)))
         if fold.call is None:
-            fold.call = {"destinationId": rows["destination"].iloc[0], "state": "in_progress", "through": 0}
+            fold.call = waiting_call(rows["destination"].iloc[0])
         return pd.DataFrame([call_row(fold, key[0], persisted, failure)])[[c.split()[0] for c in CALLS.split(", ")]].astype(object)
 
     kept = segments.where("error IS NULL AND observations IS NOT NULL").select("call_id", "destination", "first_sequence", "through_sequence", "observations")
