@@ -100,3 +100,18 @@ def test_secrets_of_the_whole_table(spark):
         kinds = [k for _, k, _ in base]
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(said.encode()).hexdigest())
         assert set(said.split(",")) <= set(r.spans.split(","))
+
+
+def test_novelty_recall():
+    """Random keys of 16 characters and more are found beside ordinary text of any length, names made of syllables aren't."""
+    r = random.Random(9)
+    syllables = "the an er in tion re ed es on or st ha ent al".split()
+    prose = lambda n: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    for around in (0, 5, 40):
+        for size in (16, 20, 24, 32):
+            for letters in alphabets:
+                found = sum(bool(secrets.scan(f"{prose(around)} credential {''.join(r.choice(letters) for _ in range(size))} {prose(around)}")[1]) for _ in range(40))
+                assert found >= 36, (around, size, letters, found)
+            names = sum(bool(secrets.scan(f"{prose(around)} credential {''.join(w.capitalize() for w in prose(12).split())[:size]} {prose(around)}")[1]) for _ in range(40))
+            assert names <= 2, (around, size, names)

@@ -3,7 +3,8 @@
 Three patterns find the base kinds. Besides them, every string of code-like characters that stands shortly after a word of a
 sensitive context, or is joined to one by '=', is a candidate. Its novelty is what it adds to the compressed size of its own surroundings without copies of it, under a
 dictionary of identifiers and code: names, words and paths add little, random keys add nearly their own length. Candidates
-that add at least RATIO bytes a character are reported as kind novel.
+that add at least RATIO bytes a character are reported as kind novel. In a code made for ordinary letters, capitals and digits at random cost over
+a byte each, words and names less.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words of a sensitive context, how far after one a candidate may start, its shape, and the compressed bytes a character from which it is novel.
 CONTEXT = re.compile(r"passw|passphrase|secret|token|api[_ -]?key|credential|bearer|private[_ -]?key|access[_ -]?key|auth", re.ASCII | re.IGNORECASE)
 HINTS = (b"passw", b"passphrase", b"secret", b"token", b"api", b"credential", b"bearer", b"private", b"access", b"auth")
-REACH, AROUND, RATIO = 48, 160, 0.62
+REACH, AROUND, RATIO = 48, 160, 0.92
 LEAST = 16
 #: Where a candidate may start: at the first character of a run, or in one right after '='. It ends where the run or its stretch up to the next '=' does.
 START = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]|(?<==)[A-Za-z0-9+/_-]")
@@ -54,6 +55,15 @@ client_id client_secret access_token refresh_token id_token auth_token api_key a
 password passwd passphrase credentials authentication authorization certificate signature token secret
 """
 
+#: Plain text before every measured stretch. It has letters enough for a code of their frequencies, so a stretch of any length is coded by it, and a candidate costs what its characters do.
+PLAIN = """
+The ferry left a little after nine, when the fog over the harbour had thinned and the gulls came back to the pier. On deck two
+children counted buoys while their aunt, a quiet botanist, pressed leaves between the pages of an old timetable. Nobody hurried.
+The captain had promised calm water past the lighthouse, and for once the forecast agreed with him; only a slow swell rolled in
+from the west, lifting the hull and putting it down again like a careful hand. By noon the island showed its low green edge, with
+sheep along the dunes, a chapel, and a row of white houses whose windows caught the sun. We drank tea and talked about the winter.
+"""
+
 
 @lru_cache(maxsize=1)
 def _compressor(dictionary: str = DICTIONARY) -> zstandard.ZstdCompressor:
@@ -78,12 +88,25 @@ def without_copies(text: str, value: str, start: int, end: int, low: int, high:
     return "".join(out) + text[at:end]
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters. Copies of it or of LEAST of its characters, also at the outer ends, are no surroundings."""
+def outside(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> str:
+    """text[start:end] without what `spans`, in order of their starts, cover of it."""
+    out, at = [], start
+    for a, _, b in spans:
+        if a >= end:
+            break
+        if b > at:
+            out.append(text[at : max(at, a)])
+            at = b
+    return "".join(out) + text[at:end]
+
+
+def novelty(text: str, start: int, end: int, part: str | None = None) -> float:
+    """Compressed bytes, after PLAIN, that text[start:end] adds to its surroundings, for each of its characters. Copies of it or of LEAST of its characters, also at the outer ends, are no surroundings. With `part`, what that part of it adds, for each of the part's."""
     size = lambda s: len(_compressor().compress(s.encode("utf-8", "surrogatepass")))
     value, before, after, more = text[start:end], max(0, start - AROUND), end + AROUND, LEAST - 1
-    around = without_copies(text, value, before, start, max(0, before - more), start) + without_copies(text, value, end, after, end, after + more)
-    return (size(around + value) - size(around)) / (end - start)
+    around = PLAIN + without_copies(text, value, before, start, max(0, before - more), start) + without_copies(text, value, end, after, end, after + more)
+    part = value if part is None else part
+    return (size(around + part) - size(around)) / len(part)
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -98,48 +121,59 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
     return sorted(found)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], raw: bytes | None = None) -> list[tuple[int, int, int]]:
-    """Novel candidates but those that lie whole in a base span."""
+def novel_spans(text: str, base: list[tuple[int, int, int]], raw: bytes | None = None, reach: int = REACH, ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    """Novel candidates, which start within `reach` of a sensitive word and add `ratio` bytes a character, but those that lie whole in a base span."""
     lower = (raw if raw is not None else text.encode("utf-8", "surrogatepass")).lower()
     if not any(h in lower for h in HINTS):
         return []
+    def novel(start: int, end: int) -> bool:
+        """Whether a stretch is novel, or what base patterns leave of it."""
+        nonlocal passed
+        if end - start < LEAST:
+            return False
+        while passed < len(base) and base[passed][2] <= start:  # candidates come in order
+            passed += 1
+        rest = outside(text, start, end, base[passed : bisect_right(starts, end)])
+        return novelty(text, start, end) >= ratio or LEAST <= len(rest) < end - start and novelty(text, start, end, rest) >= ratio
+
+    starts, passed = [b[0] for b in base], 0
     found, done, run = [], 0, 0
     for m in CONTEXT.finditer(text):
         at = max(m.end(), done)
-        while c := START.search(text, at, m.end() + REACH + 1):
+        while c := START.search(text, at, m.end() + reach + 1):
             start, ends = c.start(), [STRETCH.match(text, c.start()).end()]
             if start >= run and (run := RUN.match(text, start).end()) != ends[0]:  # the rest of a run is tried once, from the first start in it
                 ends.insert(0, run)
-            at = done = next((end for end in ends if end - start >= LEAST and novelty(text, start, end) >= RATIO), 0)
+            at = done = next((end for end in ends if novel(start, end)), 0)
             if done:
                 found.append((start, 3, done))
             else:
                 at = done = ends[-1]
     # Whole in a base span: the furthest end of those that start no later than it does.
-    starts, reach = [b[0] for b in base], [0]
+    far = [0]
     for b in base:
-        reach.append(max(reach[-1], b[2]))
-    return [f for f in found if reach[bisect_right(starts, f[0])] < f[2]]
+        far.append(max(far[-1], b[2]))
+    return [f for f in found if far[bisect_right(starts, f[0])] < f[2]]
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str, reach: int = REACH, ratio: float = RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     raw = text.encode("utf-8", "surrogatepass")
     base = base_spans(text, raw)
-    return base, novel_spans(text, base, raw)
+    return base, novel_spans(text, base, raw, reach, ratio)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, ratio: float = RATIO) -> DataFrame:
     """doc_id, the number of spans of each kind, the digest of the base spans and all spans, in code points with the end exclusive.
 
     Null and empty texts have no span, so the digest of nothing; null and repeated ids keep a row each. No row moves.
     """
 
     def row(doc_id: int, text: str) -> tuple:
-        base, novel = scan(text)
+        base, novel = scan(text, reach, ratio)
         kinds = [k for _, k, _ in base]
         return doc_id, kinds.count(0), kinds.count(1), kinds.count(2), len(novel), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + novel))
 
