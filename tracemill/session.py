@@ -46,9 +46,10 @@ def one_machine(spark: SparkSession) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors; a local master's workers are this machine's."""
+    """Send the package to the executors, but for a local master's workers that have it on their path or as their working folder."""
     app = spark.sparkContext.applicationId
-    if app in _shipped or one_machine(spark):
+    here = str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == str(ROOT)
+    if app in _shipped or one_machine(spark) and here:
         return
     _shipped.add(app)
     target = Path(tempfile.mkdtemp()) / "tracemill.zip"
