@@ -17,13 +17,14 @@ from tracemill.core.values import dump, parse
 from tracemill.operators import folds
 from tracemill.plans.reads import E_SQL, events
 from tracemill.plans.registry import Tables, query
+from tracemill.session import spread
 from tracemill.sources import otlp, segments
 
 
 
 def delivery_rows(t: Tables) -> DataFrame:
     """Every event as a delivery of one span."""
-    e = events(t)
+    e = spread(events(t))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     attributes = F.concat_ws(",", *(F.concat(F.lit(f'{{"key":"{k}","value":{{"{f}":'), v, F.lit("}}")) for k, f, v in (
         ("user.id", "stringValue", quoted(F.col("user_id").cast("string"))), ("gen_ai.request.model", "stringValue", quoted(F.col("event_type"))), ("gen_ai.usage.input_tokens", "intValue", quoted(F.get_json_object("props", "$.k"))),

@@ -97,3 +97,13 @@ def discard(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, its rows dealt out evenly if it gives fewer partitions than there are cores: for work on rows that costs far more than to move them.
+
+    A small file of one row group is read by one task however many cores there are. Tables of more bytes give a partition a core at least and are
+    left as they are, so no large table is moved. For tables as read only: counting the partitions of what comes after an exchange would run that.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
