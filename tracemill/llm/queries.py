@@ -19,23 +19,27 @@ from tracemill.llm.quality import ABLATIONS, ablations, apply_policy, ledger
 from tracemill.llm.records import record_stream
 from tracemill.llm.secrets import scan_texts
 from tracemill.llm.suffix import without_repeats
-from tracemill.session import settle, table, written
+from tracemill.session import settle, spread, table, written
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(settle(spark), sf_dir, "documents"))
 
 
 def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(table(settle(spark), sf_dir, "documents"))
+    return text_media(_documents(spark, sf_dir))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_texts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_stream(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return record_stream(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(ledger(table(settle(spark), sf_dir, "documents")), "ledger")
+    return written(ledger(_documents(spark, sf_dir)), "ledger")
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +62,11 @@ def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(settle(spark), sf_dir, "documents"))
+    return near_duplicates(_documents(spark, sf_dir))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_texts(table(settle(spark), sf_dir, "documents"))
+    return scan_texts(_documents(spark, sf_dir))
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +78,11 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(settle(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(settle(spark), sf_dir, "documents"))
+    return without_repeats(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
