@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,30 @@ def reassemble(parts: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, "count", body.alias("body"), whole.alias("whole"))
 
 
-def expand_block(block: Column, lengths: Column) -> Column:
-    """The pieces of a block whose lengths add up to it, else null."""
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often and in whatever lambda it's used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(text: Column, lengths: Column) -> Column:
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    pieces = F.transform(lengths, lambda n, k: F.substring(block, F.get(ends, k) + 1, n))
-    return F.when((F.element_at(ends, -1) == F.length(block)) & F.size(lengths).between(1, 1024) & F.forall(lengths, lambda n: n >= 0), pieces)
+    return once(ends, lambda at: F.transform(lengths, lambda n, k: F.substring(text, F.get(at, k) + 1, n)))
+
+
+def expand_block(block: Column, lengths: Column) -> Column:
+    """The pieces of a block whose lengths, one at least, add up to it, else null.
+
+    n pieces are cut from about the root of n stretches, those from the block, so that the work grows with the block times that root. The bound on
+    a captured block's pieces is the segment validator's.
+    """
+
+    def pieces(b: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(b["lengths"]))).cast("int")
+        groups = F.transform(F.sequence(F.lit(1), F.size(b["lengths"]), side), lambda k: F.slice(b["lengths"], k, side))
+        return once(groups, lambda gs: F.flatten(F.zip_with(gs, _cut(b["block"], F.transform(gs, lambda g: F.aggregate(g, F.lit(0), lambda a, n: a + n))), lambda g, text: _cut(text, g))))
+
+    def checked(b: Column) -> Column:
+        total = F.aggregate(b["lengths"], F.lit(0).cast("long"), lambda a, n: a + n)
+        return F.when((F.size(b["lengths"]) > 0) & F.forall(b["lengths"], lambda n: n >= 0) & (total == F.length(b["block"])), pieces(b))
+
+    return once(F.struct(block.alias("block"), lengths.alias("lengths")), checked)
