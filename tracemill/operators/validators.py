@@ -5,6 +5,7 @@ Each takes a JSON text and gives a boolean: null where there is nothing to valid
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -35,59 +36,78 @@ def all_of(*rules: Column) -> Column:
     return reduce(and_, (F.coalesce(r, F.lit(False)) for r in rules))
 
 
-def number(json: Column, field: str) -> Column:
+def parsed(json: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a JSON text that is made and parsed once: a struct of json, its variant `v` and the `keys` of an object."""
+    read = lambda j: F.struct(j.alias("json"), F.try_parse_json(j).alias("v"), F.json_object_keys(j).alias("keys"))
+    # One transform after another: lambdas within lambdas take the analyzer many times as long.
+    return F.get(F.transform(F.transform(F.array(json), read), use), F.lit(0))
+
+
+def number(record: Column, field: str) -> Column:
     """A field's number, if that is what it is: not a text of one."""
-    v = F.try_variant_get(F.try_parse_json(json), f"$.{field}", "variant")
-    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(F.try_parse_json(json), f"$.{field}", "double"))
+    kind = F.schema_of_variant(F.try_variant_get(record["v"], f"$.{field}", "variant"))
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(record["v"], f"$.{field}", "double"))
+
 
+def whole(n: Column) -> Column:
+    """Whether a number is whole, from 0 to the largest safe one."""
+    return F.coalesce((n >= 0) & (n <= SAFE) & (n == F.floor(n)), F.lit(False))
 
-def whole(json: Column, field: str) -> Column:
-    """Whether a field is a whole number from 0 to the largest safe one."""
-    n = number(json, field)
-    return (n >= 0) & (n <= SAFE) & (n == F.floor(n))
 
+def all_whole(record: Column, fields: tuple[str, ...]) -> Column:
+    return F.forall(F.array(*(number(record, f) for f in fields)), whole)
 
-def is_time(json: Column, field: str) -> Column:
+
+def is_time(record: Column, field: str) -> Column:
     """Whether a field is a text that is a time."""
-    v = F.try_parse_json(json)
-    return (F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) == "STRING") & F.try_to_timestamp(F.try_variant_get(v, f"$.{field}", "string")).isNotNull()
+    return (F.schema_of_variant(F.try_variant_get(record["v"], f"$.{field}", "variant")) == "STRING") & F.try_to_timestamp(F.try_variant_get(record["v"], f"$.{field}", "string")).isNotNull()
 
 
-def _object(json: Column) -> Column:
-    return F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT")
+def _object(record: Column) -> Column:
+    return record["v"].isNotNull() & record["keys"].isNotNull()
 
 
-def _only_known(json: Column, fields: tuple[str, ...]) -> Column:
-    return F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, fields)))) == 0
+def _only_known(record: Column, fields: tuple[str, ...]) -> Column:
+    return F.forall(record["keys"], lambda k: k.isin(*fields))
 
 
 def valid_capacity(json: Column) -> Column:
     """Six counts, a time, rates that aren't negative where there are any, no more remaining than the budget, and nothing else."""
-    absent = lambda f: ~F.array_contains(F.json_object_keys(json), f)
-    rates = [absent(f) | F.coalesce(number(json, f) >= 0, F.lit(False)) for f in CAPACITY_RATES]
-    known = (*CAPACITY_COUNTS, *CAPACITY_RATES, "observedAt")
-    good = all_of(_object(json), *(whole(json, f) for f in CAPACITY_COUNTS), is_time(json, "observedAt"), number(json, "remainingBytes") <= number(json, "budgetBytes"), *rates, _only_known(json, known))
-    return F.when(json.isNotNull(), good)
+
+    def good(r: Column) -> Column:
+        rates = [~F.array_contains(r["keys"], f) | F.coalesce(number(r, f) >= 0, F.lit(False)) for f in CAPACITY_RATES]
+        known = (*CAPACITY_COUNTS, *CAPACITY_RATES, "observedAt")
+        return F.when(r["json"].isNotNull(), all_of(_object(r), _only_known(r, known), all_whole(r, CAPACITY_COUNTS), is_time(r, "observedAt"), number(r, "remainingBytes") <= number(r, "budgetBytes"), *rates))
+
+    return parsed(json, good)
 
 
 def valid_content(json: Column, fields: tuple[str, ...] = CONTENT) -> Column:
     """All counters but the optional one, whole, nothing else, and no more retained than at the peak."""
-    have = F.json_object_keys(json)
-    need = [F.array_contains(have, f) for f in fields if f != CONTENT_OPTIONAL]
-    counts = [~F.array_contains(have, f) | F.coalesce(whole(json, f), F.lit(False)) for f in fields]
-    return F.when(json.isNotNull(), all_of(_object(json), *need, *counts, _only_known(json, fields), number(json, "retainedChargedBytes") <= number(json, "peakChargedBytes")))
+    need = tuple(f for f in fields if f != CONTENT_OPTIONAL)
+
+    def good(r: Column) -> Column:
+        have = [F.array_contains(r["keys"], f) for f in need]
+        optional = [~F.array_contains(r["keys"], f) | whole(number(r, f)) for f in fields if f == CONTENT_OPTIONAL]
+        return F.when(r["json"].isNotNull(), all_of(_object(r), *have, _only_known(r, fields), all_whole(r, need), *optional, number(r, "retainedChargedBytes") <= number(r, "peakChargedBytes")))
+
+    return parsed(json, good)
 
 
 def health_error(json: Column) -> Column:
     """Why a health record is refused, or null: too_large, capacity, content, time or counter."""
-    part = lambda f: F.get_json_object(json, f"$.{f}")
-    return (
-        F.when(F.octet_length(json) > MAX_HEALTH, "too_large")
-        .when(~F.coalesce(valid_capacity(part("capacity")), F.lit(True)), "capacity")
-        .when(~F.coalesce(valid_content(part("content")), F.lit(True)), "content")
-        .when(~all_of(is_time(json, "observedAt"), is_time(json, "startedAt")), "time")
-        .when(~all_of(*(whole(json, f) for f in HEALTH_COUNTS)), "counter")
-    )
+
+    def reason(r: Column) -> Column:
+        part = lambda f: F.get_json_object(r["json"], f"$.{f}")
+        return (
+            F.when(F.octet_length(r["json"]) > MAX_HEALTH, "too_large")
+            .when(~F.coalesce(valid_capacity(part("capacity")), F.lit(True)), "capacity")
+            .when(~F.coalesce(valid_content(part("content")), F.lit(True)), "content")
+            .when(~all_of(is_time(r, "observedAt"), is_time(r, "startedAt")), "time")
+            .when(~all_whole(r, HEALTH_COUNTS), "counter")
+        )
+
+    return parsed(json, reason)
 
 
 def hook_kind(method: Column) -> Column:
