@@ -28,10 +28,15 @@ def split_batches(superseded: DataFrame) -> DataFrame:
 
 
 def resolved_scopes(observations: DataFrame, bindings: DataFrame) -> DataFrame:
-    """`observations` (keys: the credentials that a request carries, destination, revision, route) with `scope_error`: why it belongs to no binding, or null."""
+    """`observations` (keys: the credentials that a request carries, destination, revision, route) with `scope_error`: why it belongs to no binding, or null.
+
+    Those without a single credential join nothing. They get keys of their own, which the condition keeps from matching: nulls would all meet in one task.
+    """
     single = F.when(F.size(F.array_distinct("keys")) == 1, F.get("keys", F.lit(0)))
     b = bindings.select(F.col("key").alias("k"), F.col("destination").alias("bound_destination"), F.col("revision").alias("bound_revision"))
-    found = observations.withColumn("credential", single).join(b, F.col("credential") == F.col("k"), "left")
+    known = observations.withColumn("credential", single)
+    row = F.xxhash64(*(F.col(c) for c, kind in observations.dtypes if "map<" not in kind and "variant" not in kind)).cast("string")
+    found = known.withColumn("_join", F.coalesce("credential", row)).join(b, (F.col("_join") == F.col("k")) & F.col("credential").isNotNull(), "left").drop("_join")
     reason = (
         F.when(F.size("keys") == 0, "credential_missing").when(F.col("credential").isNull(), "credential_ambiguous").when(F.col("k").isNull(), "credential_unbound")
         .when(F.col("destination") != F.col("bound_destination"), "destination_mismatch").when(F.col("revision") != F.col("bound_revision"), "revision_mismatch").when(~F.col("route").isin(*ROUTES), "route_unsupported")
