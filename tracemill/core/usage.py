@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.core.values import SAFE, count, record
+from functools import lru_cache
+
+from tracemill.core.values import SAFE, count, dump, parse_record, record
 from tracemill.functions.rules import NORMALIZATION, TOKEN_FIELDS
 
 SEMANTICS = "client_protocol_usage_v2"
@@ -15,9 +17,9 @@ DETAIL = ("cached_tokens", "cache_write_tokens", "cached_creation_tokens", "cach
 def bounded(raw: object) -> dict:
     """Of a usage object the known fields that are counts."""
     raw = record(raw)
-    out: dict = {f: n for f in FLAT if (n := count(raw.get(f))) is not None}
+    out: dict = {f: n for f in FLAT if f in raw and (n := count(raw[f])) is not None}
     for group in DETAILS:
-        if inner := {f: n for f in DETAIL if (n := count(record(raw.get(group)).get(f))) is not None}:
+        if (given := record(raw.get(group))) and (inner := {f: n for f in DETAIL if f in given and (n := count(given[f])) is not None}):
             out[group] = inner
     return out
 
@@ -46,6 +48,15 @@ def normalized(protocol: str, counts: dict[str, int]) -> dict[str, int | None]:
     return out
 
 
+@lru_cache(1 << 14)
+def normalized_text(protocol: str, raw: str) -> str | None:
+    """The fields of a usage object's JSON as JSON, null where it isn't one. A worker keeps the last texts: small counts come again."""
+    try:
+        return dump(normalized(protocol, reported(bounded(parse_record(raw)))))
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def measurements(usage: dict, final: bool) -> list[dict]:
     flat = {f: n for f in FLAT if (n := count(usage.get(f))) is not None}
     nested = {f"{k}.{f}": n for k, v in usage.items() if isinstance(v, dict) for f, x in v.items() if (n := count(x)) is not None}

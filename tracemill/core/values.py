@@ -28,8 +28,14 @@ def _no_constants(name: str) -> None:
     raise ValueError(f"{name} isn't JSON")
 
 
+# Made once: json.loads and json.dumps make a new one at each call that has options.
+_DECODER = json.JSONDecoder(parse_constant=_no_constants)
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
+
+
 def parse(text: str) -> object:
-    return json.loads(text, parse_constant=_no_constants)
+    plain = isinstance(text, str) and not text.startswith("\ufeff")
+    return _DECODER.decode(text) if plain else json.loads(text, parse_constant=_no_constants)
 
 
 def parse_record(text: str) -> dict:
@@ -40,7 +46,7 @@ def parse_record(text: str) -> dict:
 
 def dump(value: object) -> str:
     """Compact JSON, as JavaScript writes it."""
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _ENCODER.encode(value)
 
 
 def number_text(x: float) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 
 from tracemill.core import content, fold, usage
 from tracemill.core.frames import FrameLimit, Frames
-from tracemill.core.values import dump, parse_record
+from tracemill.core.values import dump
 
 
 @udtf(returnType="ordinal int, event string, data string, error string")
@@ -58,14 +58,7 @@ def decode_output(raw: pd.Series) -> pd.Series:
 @F.pandas_udf("string")
 def normalize_usage(protocol: pd.Series, raw: pd.Series) -> pd.Series:
     """The six token fields of a usage object as JSON; null where it isn't one."""
-
-    def one(p: str, x: str) -> str | None:
-        try:
-            return dump(usage.normalized(p, usage.reported(usage.bounded(parse_record(x)))))
-        except (ValueError, KeyError, TypeError):
-            return None
-
-    return pd.Series([one(p, x) for p, x in zip(protocol, raw, strict=True)], dtype=object)
+    return pd.Series([usage.normalized_text(p, x) for p, x in zip(protocol, raw, strict=True)], dtype=object)
 
 
 @F.pandas_udf("provider string, provenance string")
